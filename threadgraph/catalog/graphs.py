@@ -14,11 +14,11 @@ from threadgraph.session import materialize
 
 
 def _graph(spark, sf):
-    return g.materialize_graph(fx.triples(spark, sf))
+    return g.materialize_graph(materialize(fx.triples(spark, sf)))
 
 
 def _order_graph(spark, sf):
-    t = fx.order_triples(spark, sf)
+    t = materialize(fx.order_triples(spark, sf))
     nodes = g.triple_endpoints(t).select("graph_id", "id").distinct()
     links = t.select("graph_id", "seq", F.col("subject_id").alias("source"), F.col("object_id").alias("target"),
                      F.col("predicate").alias("label"), "origin")
@@ -62,7 +62,7 @@ CONSOLIDATED = """
  SELECT "group" AS origin, count(*) AS nodes, sum(count)::BIGINT AS merged_nodes,
    (SELECT count(*) FROM kl WHERE contains(','||kl.origins||',', ','||kn."group"||',')) AS links, (SELECT similarity FROM sim) AS similarity FROM kn GROUP BY kn."group" """))
 def flagship(spark, sf):
-    t = fx.triples(spark, sf)
+    t = materialize(fx.triples(spark, sf))
     adj = cn.adjacency(_links(t))
     ball = materialize(cn.khop(adj, fx.seeds(spark, sf), 2))
     kept = g.valid_links(ball.select("graph_id", "id"), t.withColumnsRenamed({"subject_id": "source", "object_id": "target"}))
@@ -267,7 +267,7 @@ USER_GRAPH = """WITH sl AS (SELECT path_id AS graph_id, subject AS source, objec
 
 def user_graph(spark, sf):
     """One small transition graph per user and week."""
-    s = fx.path_steps(spark, sf)
+    s = materialize(fx.path_steps(spark, sf))
     links = s.select(F.col("path_id").alias("graph_id"), F.col("pos").alias("seq"), F.col("subject").alias("source"), F.col("object").alias("target"), F.col("predicate").alias("label"))
     nodes = links.select("graph_id", F.explode(F.array("source", "target")).alias("id")).distinct()
     return nodes, links

@@ -135,9 +135,9 @@ def vector_layers(vecs: DataFrame) -> DataFrame:
 def vector_links(spark: SparkSession, sf: str) -> DataFrame:
     """Two out-links per vector, by modular steps over the whole table."""
     emb = table(spark, sf, "embeddings").select("vec_id")
-    n = emb.agg(F.count(F.lit(1)).alias("n"))
+    n = emb.groupBy(F.lit("all").alias("graph_id")).agg(F.count(F.lit(1)).alias("n"))
     steps = F.array(F.struct(F.lit(7).alias("a"), F.lit(1).alias("b")), F.struct(F.lit(13).alias("a"), F.lit(5).alias("b")))
-    both = emb.join(n, how="cross").select("vec_id", "n", F.explode(steps).alias("st"))
+    both = emb.withColumn("graph_id", F.lit("all")).join(n, "graph_id").select("vec_id", "n", F.explode(steps).alias("st"))
     target = (F.col("vec_id") * F.col("st.a") + F.col("st.b")) % F.col("n")
     return both.select(
         F.lit("all").alias("graph_id"), _id("v", "vec_id").alias("source"),

@@ -1,8 +1,301 @@
-"""placeholder"""
-from pyspark.sql import functions as F
+"""Vector similarity joins, similarity-based connections and propagation.
+
+Vector tables: graph_id, id, vec (array<double>).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
 from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from threadgraph.functions.lexicons import CONNECTION_TERMS
-from threadgraph.operators.common import top_k
-def prioritize(connections, n=20, terms=CONNECTION_TERMS, order=("seq",)):
-    hit = reduce(lambda a, b: a | b, [F.lower(F.coalesce("object_label", F.lit(""))).contains(t) for t in terms])
-    return top_k(connections, ["graph_id"], [F.when(hit, 0).otherwise(1), *[F.col(c) for c in order]], n)
+from threadgraph.functions.text import stable_id
+from threadgraph.functions.vectors import dimension, vec_add, vec_cosine, vec_unit, weighted_sum
+from threadgraph.operators.common import first_by, top_k
+from threadgraph.operators.graph import simple_edges
+
+PIVOTS = 16
+BLOCK_ROWS = 4096
+
+
+def _unit_rows(vecs: pd.Series) -> np.ndarray:
+    m = np.array(vecs.tolist(), dtype=np.float64)
+    if m.ndim == 1:
+        m = m.reshape(len(vecs), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _pivot_angles(pivots: np.ndarray):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def angles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vecs in parts:
+            if len(vecs) == 0:
+                yield pd.Series([], dtype=object)
+                continue
+            yield pd.Series(list(np.arccos(np.clip(_unit_rows(vecs) @ pivots.T, -1.0, 1.0))))
+    return angles
+
+
+def _blocks(left: DataFrame, right: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame] | None:
+    """Cut both sides into blocks that together cover every pair that can reach the threshold.
+
+    Right rows belong to the cell of their nearest pivot. By the triangle inequality on
+    angles a left row at angle b to the pivot can only reach rows at angles within
+    acos(threshold) of b, so it visits just the cells whose angle range overlaps. Cells larger
+    than a block, on either side, are split by hash, so no block grows with a hot cell.
+    """
+    sample = right.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()
+    if not sample:
+        return None
+    pivots = _unit_rows(pd.Series([r["vec"] for r in sample]))
+    angles = _pivot_angles(pivots)
+    r = right.withColumn("_a", angles("vec")).withColumn("_near", F.array_min("_a"))
+    r = r.withColumn("cell", F.array_position("_a", F.col("_near")).cast("int")).drop("_a")
+    cells = r.groupBy("graph_id", "cell").agg(F.min("_near").alias("lo"), F.max("_near").alias("hi"), F.count(F.lit(1)).alias("nr"))
+    reach = math.pi if threshold is None else math.acos(max(-1.0, min(1.0, threshold)))
+    l = left.select("*", F.posexplode(angles("vec")).alias("_p", "_b")).withColumn("cell", F.col("_p") + 1)
+    l = l.join(cells, ["graph_id", "cell"]).filter((F.col("_b") - reach <= F.col("hi") + 1e-6) & (F.col("_b") + reach >= F.col("lo") - 1e-6))
+    nl = l.groupBy("graph_id", "cell").agg(F.count(F.lit(1)).alias("nl"))
+    chunks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    l = l.join(nl, ["graph_id", "cell"])
+    r = r.join(cells.select("graph_id", "cell", "nr"), ["graph_id", "cell"]).join(nl, ["graph_id", "cell"])
+    mine = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    keys = ["graph_id", "cell", "lc", "rc"]
+    lb = l.withColumn("lc", mine("nl")).withColumn("rc", every("nr")).select(*keys, "id", "vec")
+    rb = r.withColumn("rc", mine("nr")).withColumn("lc", every("nl")).select(*keys, "id", "vec")
+    # fresh column identities: both sides may stem from one table
+    return lb.select(*[F.col(c).alias(c) for c in lb.columns]), rb.select(*[F.col(c).alias(c) for c in rb.columns])
+
+
+PAIR_SCHEMA = "graph_id string, left_id string, right_id string, similarity double"
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float | None, k: int | None = None, keep_self: bool = False) -> DataFrame:
+    """Exact pairs with cosine >= threshold, at most the ``k`` best per left row.
+
+    A block keeps its own k best per left row, which always contain the overall k best.
+    Similarities are rounded to 9 digits and ties go to the smaller right id.
+    """
+    def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"graph_id": [], "left_id": [], "right_id": [], "similarity": []})
+        b = b.sort_values("id", kind="stable")
+        s = np.round(_unit_rows(a["vec"]) @ _unit_rows(b["vec"]).T, 9)
+        aid, bid = a["id"].to_numpy(), b["id"].to_numpy()
+        ok = np.ones_like(s, dtype=bool) if threshold is None else s >= threshold
+        if not keep_self:
+            ok &= aid[:, None] != bid[None, :]
+        if k is not None and s.shape[1] > k:
+            best = np.argsort(-np.where(ok, s, -2.0), axis=1, kind="stable")[:, :k]
+            top = np.zeros_like(ok)
+            np.put_along_axis(top, best, True, axis=1)
+            ok &= top
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"graph_id": key[0], "left_id": aid[i], "right_id": bid[j], "similarity": s[i, j]})
+
+    sides = _blocks(left.select("graph_id", "id", "vec"), right.select("graph_id", "id", "vec"), threshold)
+    if sides is None:
+        return left.limit(0).select("graph_id", F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("similarity"))
+    keys = ["graph_id", "cell", "lc", "rc"]
+    out = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(block, PAIR_SCHEMA)
+    if k is None:
+        return out
+    return top_k(out, ["graph_id", "left_id"], [F.col("similarity").desc(), F.col("right_id")], k)
+
+
+def max_similarity(users: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Highest cosine of every node to any user vector; one row per node and block leaves Python."""
+    def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"graph_id": [], "id": [], "similarity": []})
+        s = np.round(_unit_rows(a["vec"]) @ _unit_rows(b["vec"]).T, 9).max(axis=0)
+        return pd.DataFrame({"graph_id": key[0], "id": b["id"].to_numpy(), "similarity": s})
+
+    sides = _blocks(users.select("graph_id", "id", "vec"), nodes.select("graph_id", "id", "vec"), None)
+    if sides is None:
+        return nodes.limit(0).select("graph_id", "id", F.lit(0.0).alias("similarity"))
+    keys = ["graph_id", "cell", "lc", "rc"]
+    out = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(block, "graph_id string, id string, similarity double")
+    return out.groupBy("graph_id", "id").agg(F.max("similarity").alias("similarity"))
+
+
+# --- connections ---------------------------------------------------------------------------
+
+def similarity_connections(user: DataFrame, domain: DataFrame, threshold: float = 0.7, k: int = 15) -> DataFrame:
+    """The ``k`` most similar user-domain pairs per graph as connection triples."""
+    pairs = similar_pairs(user, domain, threshold, k, keep_self=True)
+    best = top_k(pairs, ["graph_id"], [F.col("similarity").desc(), F.col("left_id"), F.col("right_id")], k, "rank")
+    return best.select("graph_id", F.col("left_id").alias("subject_id"), F.lit("ns0__Is_similar_to").alias("predicate"),
+                       F.col("right_id").alias("object_id"), F.lit("connection").alias("origin"), "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def topk_similar(users: DataFrame, entities: DataFrame, k: int = 50, threshold: float = 0.6) -> DataFrame:
+    """Nearest entities per user; the user itself takes one of the ``k`` places and is dropped."""
+    near = similar_pairs(users, entities, threshold, k, keep_self=True).filter("left_id <> right_id")
+    predicate = F.when(F.col("similarity") > 0.8, "ns0__Is_strongly_related_to").otherwise("ns0__Is_semantically_related_to")
+    return near.select("graph_id", F.col("left_id").alias("subject_id"), predicate.alias("predicate"), F.col("right_id").alias("object_id"), "similarity")
+
+
+def topk_per_level(users: DataFrame, entities: DataFrame, k: int = 2, threshold: float = 0.5, levels=("business", "system", "data", "technology")) -> DataFrame:
+    """Nearest ``k`` entities per user and layer. Each (graph, layer) is joined as its own graph."""
+    key = lambda layer: F.concat_ws("\u0001", F.col("graph_id"), layer)
+    l = users.select("graph_id", "id", "vec", F.explode(F.array(*[F.lit(x) for x in levels])).alias("layer"))
+    l = l.select(key(F.col("layer")).alias("graph_id"), "id", "vec")
+    r = entities.filter(F.col("layer").isin(*levels)).select(key(F.col("layer")).alias("graph_id"), "id", "vec")
+    pairs = similar_pairs(l, r, threshold, k)
+    part = F.split("graph_id", "\u0001")
+    return pairs.select(part[0].alias("graph_id"), F.col("left_id").alias("subject_id"), part[1].alias("layer"),
+                        F.concat(F.lit("ns0__Is_implemented_by_"), part[1]).alias("predicate"), F.col("right_id").alias("object_id"), "similarity")
+
+
+def topk_global(users: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    return top_k(max_similarity(users, nodes), ["graph_id"], [F.col("similarity").desc(), F.col("id")], n)
+
+
+def prioritize(connections: DataFrame, n: int = 20, terms=CONNECTION_TERMS, order=("seq",), label: str = "object_label") -> DataFrame:
+    """Connections to objects with a technical term first, then the others, first ``n`` per graph."""
+    hit = reduce(lambda a, b: a | b, [F.lower(F.coalesce(label, F.lit(""))).contains(t) for t in terms])
+    cols: list[Column] = [c if isinstance(c, Column) else F.col(c) for c in order]
+    return top_k(connections, ["graph_id"], [F.when(hit, 0).otherwise(1), *cols], n)
+
+
+def semantic_seeds(users: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities named like a user entity, else the best word overlap, else the first three."""
+    from threadgraph.operators.joins import word_overlap_match
+
+    exact = entities.join(users.select("graph_id", "label").distinct(), ["graph_id", "label"], "left_semi").withColumn("_o", F.lit(0))
+    key = lambda c: F.concat_ws("\u0001", "graph_id", c)
+    overlap = word_overlap_match(users.select(key("label").alias("user_id"), "label"), entities.select(key("id").alias("entity_id"), "label"))
+    same = F.split("user_id", "\u0001")[0] == F.split("entity_id", "\u0001")[0]
+    near = overlap.filter(same).select(F.split("entity_id", "\u0001")[0].alias("graph_id"), F.split("entity_id", "\u0001")[1].alias("id")).distinct()
+    near = entities.join(near, ["graph_id", "id"], "left_semi").withColumn("_o", F.lit(1))
+    first = top_k(entities, ["graph_id"], [F.col("id")], 3).withColumn("_o", F.lit(2))
+    pool = exact.unionByName(near).unionByName(first)
+    level = pool.groupBy("graph_id").agg(F.min("_o").alias("_o"))
+    return pool.join(level, ["graph_id", "_o"]).drop("_o")
+
+
+def semantic_connections(users: DataFrame, entities: DataFrame, threshold: float = 0.5, hops: int = 2, limit: int = 20, hop_k: int = 10) -> DataFrame:
+    """First-hop neighbours of the users and, below them, neighbours of those neighbours.
+
+    A second-hop row keeps the similarity of its closest first-hop parent; users and pairs
+    already linked are skipped. Priority terms come first, ``limit`` rows per graph.
+    """
+    first = topk_similar(users, entities, 50, threshold).withColumn("hop", F.lit(1))
+    out = first
+    if hops > 1:
+        targets = first.select("graph_id", F.col("object_id").alias("id")).distinct()
+        t_vec = entities.join(targets, ["graph_id", "id"], "left_semi")
+        second = similar_pairs(t_vec, entities, threshold - 0.2, hop_k, keep_self=True).filter("left_id <> right_id")
+        via = first.select("graph_id", "subject_id", F.col("object_id").alias("left_id"), F.col("similarity").alias("s1"))
+        far = second.join(via, ["graph_id", "left_id"]).groupBy("graph_id", "subject_id", F.col("right_id").alias("object_id")).agg(
+            F.min_by("similarity", F.struct(-F.col("s1"), F.col("left_id"))).alias("similarity"))
+        far = far.join(users.select("graph_id", F.col("id").alias("object_id")), ["graph_id", "object_id"], "left_anti")
+        far = far.join(first.select("graph_id", "subject_id", "object_id"), ["graph_id", "subject_id", "object_id"], "left_anti")
+        far = far.select("graph_id", "subject_id", F.lit("ns0__Is_indirectly_related_to").alias("predicate"), "object_id", "similarity", F.lit(2).alias("hop"))
+        out = first.unionByName(far)
+    labels = entities.select("graph_id", F.col("id").alias("object_id"), F.col("label").alias("object_label"))
+    named = out.join(labels, ["graph_id", "object_id"])
+    order = [F.col("hop"), F.col("subject_id"), F.col("similarity").desc(), F.col("object_id")]
+    return prioritize(named, limit, order=order).withColumn("origin", F.lit("gnn"))
+
+
+def ring_fallback(seeds: DataFrame, entities: DataFrame, found: DataFrame) -> DataFrame:
+    """Graphs without connections and with more than three entities: the first three seeds
+    point to their next three entities in id order, wrapping around."""
+    todo = entities.join(found.select("graph_id").distinct(), "graph_id", "left_anti")
+    size = todo.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
+    first = top_k(seeds.join(size, "graph_id"), ["graph_id"], [F.col("id")], 3)
+    w = Window.partitionBy("graph_id").orderBy("id")
+    # successors of an id: the three next ids, then the smallest ids of the graph
+    head = top_k(todo, ["graph_id"], [F.col("id")], 4, "rn").select("graph_id", F.col("id").alias("cand"), (F.col("rn") + 3).alias("o"))
+    nxt = first.select("graph_id", F.col("id").alias("seed")).join(todo.select("graph_id", F.col("id").alias("cand")), "graph_id").filter("cand > seed")
+    nxt = top_k(nxt, ["graph_id", "seed"], [F.col("cand")], 3, "o")
+    wrap = first.select("graph_id", F.col("id").alias("seed")).join(head, "graph_id").filter("cand <> seed")
+    both = nxt.select("graph_id", "seed", "cand", "o").unionByName(wrap.select("graph_id", "seed", "cand", "o"))
+    both = first_by(both, ["graph_id", "seed", "cand"], ["o"])
+    pick = top_k(both, ["graph_id", "seed"], [F.col("o"), F.col("cand")], 3)
+    return pick.select("graph_id", F.col("seed").alias("subject_id"), F.lit("ns0__Is_related_to").alias("predicate"), F.col("cand").alias("object_id"),
+                       F.lit("gnn").alias("origin"), F.lit(0.7).alias("similarity"))
+
+
+def seed_community_links(seeds: DataFrame, entities: DataFrame, links: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` entities nearest to the mean seed vector, linked pairwise.
+
+    An existing link gives its predicate, otherwise the pair is "related".
+    """
+    dim = dimension(entities)
+    mean = weighted_sum(seeds, ["graph_id"], dim).withColumnRenamed("vec", "center")
+    near = entities.join(mean, "graph_id").withColumn("similarity", F.round(vec_cosine(F.col("vec"), F.col("center")), 9))
+    best = top_k(near, ["graph_id"], [F.col("similarity").desc(), F.col("id")], n, "rn").select("graph_id", "id", "rn")
+    listed = best.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("rn", "id"))).alias("b"))
+    i = listed.select("graph_id", "b", F.explode("b").alias("x"))
+    pairs = i.select("graph_id", "x", F.explode("b").alias("y")).filter("x.rn < y.rn").select(
+        "graph_id", F.col("x.id").alias("source"), F.col("y.id").alias("target"))
+    known = first_by(links.select("graph_id", "source", "target", F.col("label").alias("known")), ["graph_id", "source", "target"], ["known"])
+    return pairs.join(known, ["graph_id", "source", "target"], "left").select(
+        "graph_id", F.col("source").alias("subject_id"), F.coalesce("known", F.lit("ns0__Is_related_to")).alias("predicate"),
+        F.col("target").alias("object_id"), F.lit("gnn").alias("origin"))
+
+
+# --- layers by prototype -------------------------------------------------------------------
+
+def layer_prototypes(vectors: DataFrame, layer: str = "layer") -> DataFrame:
+    """Mean vector per layer; a handful of rows per graph."""
+    return weighted_sum(vectors, ["graph_id", layer], dimension(vectors))
+
+
+def layer_by_prototype(entities: DataFrame, prototypes: DataFrame, layer: str = "layer") -> DataFrame:
+    """Layer with the most similar prototype; "other" for entities without a vector."""
+    protos = prototypes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col(layer).alias("name"), F.col("vec").alias("pvec")))).alias("ps"))
+    scored = entities.join(protos, "graph_id", "left").withColumn("best", F.array_max(F.transform(
+        F.reverse("ps"), lambda p: F.struct(F.round(vec_cosine(F.col("vec"), p["pvec"]), 9).alias("s"), p["name"].alias("n")))))
+    return scored.withColumn("layer_found", F.when(F.col("vec").isNull() | F.col("best").isNull(), "other").otherwise(F.col("best.n"))).drop("ps", "best")
+
+
+# --- propagation ---------------------------------------------------------------------------
+
+def propagate(vectors: DataFrame, links: DataFrame, rounds: int = 3) -> DataFrame:
+    """h <- unit(h + mean of out-neighbours), ``rounds`` times."""
+    dim = dimension(vectors)
+    pairs = links.select("graph_id", "source", "target").distinct()
+    h = vectors.select("graph_id", "id", "vec")
+    for _ in range(rounds):
+        near = pairs.join(h.select("graph_id", F.col("id").alias("target"), "vec"), ["graph_id", "target"])
+        mean = weighted_sum(near, ["graph_id", "source"], dim).select("graph_id", F.col("source").alias("id"), F.col("vec").alias("m"))
+        zero = F.array_repeat(F.lit(0.0), dim)
+        h = h.join(mean, ["graph_id", "id"], "left").select("graph_id", "id", vec_unit(vec_add(F.col("vec"), F.coalesce("m", zero))).alias("vec"))
+    return h
+
+
+def graph_conv_embed(vectors: DataFrame, links: DataFrame, rounds: int = 1) -> DataFrame:
+    """Parameter-free graph convolution: D^-1/2 (A + I) D^-1/2 h plus residual, unit length."""
+    dim = dimension(vectors)
+    edges = simple_edges(links).filter("a <> b")
+    loops = vectors.select("graph_id", F.col("id").alias("node"), F.col("id").alias("nbr"))
+    adj = edges.select("graph_id", F.col("a").alias("node"), F.col("b").alias("nbr")).unionByName(
+        edges.select("graph_id", F.col("b").alias("node"), F.col("a").alias("nbr"))).unionByName(loops)
+    deg = adj.groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("k"))
+    adj = adj.join(deg, ["graph_id", "node"]).join(deg.select("graph_id", F.col("node").alias("nbr"), F.col("k").alias("kn")), ["graph_id", "nbr"])
+    adj = adj.select("graph_id", "node", "nbr", (1.0 / F.sqrt((F.col("k") * F.col("kn")).cast("double"))).alias("w"))
+    h = vectors.select("graph_id", "id", "vec")
+    for _ in range(rounds):
+        near = adj.join(h.select("graph_id", F.col("id").alias("nbr"), "vec"), ["graph_id", "nbr"])
+        agg = weighted_sum(near, ["graph_id", "node"], dim, weight=F.col("w"), mean=False).select("graph_id", F.col("node").alias("id"), F.col("vec").alias("m"))
+        h = h.join(agg, ["graph_id", "id"]).select("graph_id", "id", vec_unit(vec_add(F.col("vec"), F.col("m"))).alias("vec"))
+    return h
+
+
+def connection_ids(connections: DataFrame) -> DataFrame:
+    """Stable ids from labels for both ends of a connection."""
+    return connections.withColumns({
+        "subject_id": stable_id(F.col("subject_label"), "user"), "object_id": stable_id(F.col("object_label"), "entity")})
