@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 from threadgraph.sources.articles import extra_fields_map, normalize_articles
 
 
-def read_articles(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", files_per_trigger: int = 10) -> DataFrame:
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def read_articles(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", files_per_trigger: int = 10, glob: str = "*") -> DataFrame:
+    """Files of one folder as a stream; ``glob`` selects among them."""
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     return reader.load(path)
