@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadgraph.functions import lexicons as lex
 from threadgraph.functions.text import (
-    lexicon_count, lit_array, occurrences, sentences, simple_entities, token_cosine, token_count, words,
+    bind, lexicon_count, lit_array, occurrences, sentences, simple_entities, token_cosine, token_count, words,
 )
 from threadgraph.operators.common import rnd
 
@@ -27,10 +27,11 @@ def prepare(df: DataFrame, text: str = "response", prompt: str = "prompt") -> Da
     """Lower-case forms, words, sentences and lines, computed once per row."""
     out = df.withColumns({"_low": F.lower(text), "_words": words(F.col(text)), "_sents": sentences(F.col(text)), "_lines": F.split(F.col(text), "\n")})
     if prompt in df.columns:
-        out = out.withColumns({"_plow": F.lower(prompt), "_pwords": words(F.col(prompt))})
+        out = out.withColumns({"_plow": F.lower(prompt), "_pwords": words(F.col(prompt)), "_ents": simple_entities(F.col(prompt))})
         if "similarity" not in df.columns:
             out = out.withColumn("similarity", token_cosine(F.col("_pwords"), F.col("_words")))
-    toks = F.transform("_sents", lambda s: F.array_distinct(words(s)))
+    out = out.withColumn("_toks", F.transform("_sents", lambda s: F.array_distinct(words(s))))
+    toks = F.col("_toks")
     return out.withColumn("_flow", F.when(F.size("_sents") > 1, F.transform(F.sequence(F.lit(1), F.size("_sents") - 1), lambda i: token_cosine(F.get(toks, i - 1), F.get(toks, i)))).otherwise(F.array().cast("array<double>")))
 
 
@@ -41,7 +42,7 @@ def drop_prepared(df: DataFrame) -> DataFrame:
 def instruction_metrics(entities: Column | None = None) -> dict[str, Column]:
     """Simple 0-10 instruction metrics; the domain score looks at the prompt only."""
     low = F.col("_low")
-    ents = entities if entities is not None else F.transform(simple_entities(F.col("prompt")), lambda e: F.lower(e))
+    ents = entities if entities is not None else F.transform("_ents", lambda e: F.lower(e))
     focus = F.size(F.filter(ents, lambda e: (e != "") & F.contains(low, e))) * 2.0
     cap = lambda c: F.least(F.lit(10.0), c)
     n_words = F.size(F.filter(F.split(F.col("response"), r"\s+"), lambda w: w != ""))
@@ -83,20 +84,23 @@ def _word_total(text: str = "response") -> Column:
     return F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
 
 
-def domain_specificity(hint: Column | None = None, domains=lex.DOMAIN_TERMS) -> Column:
-    low, total = F.col("_low"), F.greatest(_word_total(), F.lit(1))
+def add_domain(df: DataFrame, hint: Column | None = None, domains=lex.DOMAIN_TERMS) -> DataFrame:
+    """``_dcount`` and ``_dterms`` of the hinted domain, else of the one with most terms (first on a tie)."""
     names = list(domains)
-    # the first maximum wins: larger count, then earlier position
-    entries = F.array(*[F.struct(lexicon_count(low, t).alias("c"), F.lit(-i).alias("o"), lit_array(t).alias("terms"), F.lit(n).alias("name"))
-                        for i, (n, t) in enumerate(domains.items())])
-    best = F.array_max(F.transform(entries, lambda e: F.struct(e["c"].alias("c"), e["o"].alias("o"))))
-    pos = -best["o"] + 1
+    df = df.withColumn("_counts", bind(F.col("_low"), lambda s: F.array(*[lexicon_count(s, t) for t in domains.values()])))
+    pos = F.array_position("_counts", F.array_max("_counts")).cast("int")
     if hint is not None:
         pos = F.when(F.lower(hint).isin(*names), F.array_position(lit_array(names), F.lower(hint)).cast("int")).otherwise(pos)
-    chosen = F.element_at(entries, pos)
-    terms = F.array_distinct(F.flatten(F.transform(chosen["terms"], lambda t: F.split(t, " "))))
-    generic = F.greatest(F.lit(0.0), 1.0 - F.least(lexicon_count(low, lex.GENERIC_TERMS) / 5.0, F.lit(0.5)))
-    score = F.least(chosen["c"] / total * 100.0, F.lit(1.0)) * 0.50 + token_cosine(terms, F.col("_words")) * 0.30 + generic * 0.20
+    df = df.withColumn("_dpos", pos)
+    vocab = F.array(*[lit_array(dict.fromkeys(w for t in terms for w in t.split(" "))) for terms in domains.values()])
+    return df.withColumns({"_dcount": F.element_at("_counts", F.col("_dpos")), "_dterms": F.element_at(vocab, F.col("_dpos"))})
+
+
+def domain_specificity() -> Column:
+    """Term density (.5), likeness to the domain terms (.3) and absence of generic terms (.2)."""
+    generic = F.greatest(F.lit(0.0), 1.0 - F.least(lexicon_count(F.col("_low"), lex.GENERIC_TERMS) / 5.0, F.lit(0.5)))
+    density = F.least(F.col("_dcount") / F.greatest(_word_total(), F.lit(1)) * 100.0, F.lit(1.0))
+    score = density * 0.50 + token_cosine(F.col("_dterms"), F.col("_words")) * 0.30 + generic * 0.20
     return F.when(F.col("response") == "", 0.0).otherwise(rnd(score, 4))
 
 
@@ -138,7 +142,7 @@ def understandability() -> Column:
 def user_focus(entities: Column | None = None) -> Column:
     """Entity coverage (4), intent (3), keyword overlap (2), requirements (1)."""
     low, plow = F.col("_low"), F.col("_plow")
-    ents = entities if entities is not None else simple_entities(F.col("prompt"))
+    ents = entities if entities is not None else F.col("_ents")
     covered = F.least(F.lit(4.0), F.size(F.filter(ents, lambda e: F.contains(low, F.lower(e)))) * 0.8)
     cover = F.when(F.size(ents) > 0, covered).otherwise(2.0)
     pattern = F.lit(r"\b(" + "|".join(lex.INTENT_WORDS) + r")\b")
@@ -162,8 +166,8 @@ def overall_score(m: dict[str, Column]) -> Column:
 
 def score_texts(df: DataFrame, hint: Column | None = None) -> DataFrame:
     """All six metrics and the overall score per row of (prompt, response)."""
-    p = prepare(df)
-    p = p.withColumns({"actionability": actionability(), "coherence": coherence(), "domain_specificity": domain_specificity(hint),
+    p = add_domain(prepare(df), hint)
+    p = p.withColumns({"actionability": actionability(), "coherence": coherence(), "domain_specificity": domain_specificity(),
                        "technological_specificity": technological_specificity(), "understandability": understandability(), "user_focus": user_focus()})
     cols = {k: F.col(k) for k in lex.OVERALL_WEIGHTS}
     return drop_prepared(p.withColumn("overall", overall_score(cols)))
@@ -198,7 +202,8 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
 
 def domain_profile(df: DataFrame, text: str = "prompt", domains=lex.DOMAIN_TERMS) -> DataFrame:
     """Term counts per domain, density over words and the dominant domain (first on a tie)."""
-    low = F.lower(text)
+    df = df.withColumn("_low", F.lower(text))
+    low = F.col("_low")
     df = df.withColumns({f"{d}_term_frequency": lexicon_count(low, t) for d, t in domains.items()})
     total = sum((F.col(f"{d}_term_frequency") for d in domains), F.lit(0))
     n = F.greatest(F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")), F.lit(1))
@@ -206,7 +211,7 @@ def domain_profile(df: DataFrame, text: str = "prompt", domains=lex.DOMAIN_TERMS
     dom = F.when(F.lit(False), F.lit(""))
     for d in domains:
         dom = dom.when(F.col(f"{d}_term_frequency") == top, F.lit(d))
-    return df.withColumns({"domain_term_density": rnd(total / n, 4), "dominant_domain": dom})
+    return df.withColumns({"domain_term_density": rnd(total / n, 4), "dominant_domain": dom}).drop("_low")
 
 
 def logical_flow(df: DataFrame, text: str = "response") -> DataFrame:

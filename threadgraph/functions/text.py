@@ -93,15 +93,21 @@ def token_cosine(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), shared / F.sqrt((na * nb).cast("double"))).otherwise(F.lit(0.0))
 
 
+def bind(col: Column, use) -> Column:
+    """Evaluate ``col`` once and hand it to ``use``; inside a lambda a plain expression would be
+    evaluated again for every element."""
+    return F.transform(F.array(col), use)[0]
+
+
 def lexicon_count(lowered: Column, terms) -> Column:
     """Number of terms that occur as substrings, each once."""
-    return F.size(F.filter(lit_array(terms), lambda t: F.contains(lowered, t)))
+    return bind(lowered, lambda s: F.size(F.filter(lit_array(terms), lambda t: F.contains(s, t))))
 
 
 def occurrences(lowered: Column, terms) -> Column:
     """Non-overlapping occurrences of all terms, summed."""
-    one = lambda t: (F.length(lowered) - F.length(F.replace(lowered, t, F.lit("")))) / F.length(t)
-    return F.aggregate(F.transform(lit_array(terms), one), F.lit(0.0), lambda s, x: s + x).cast("long")
+    one = lambda s: lambda t: (F.length(s) - F.length(F.replace(s, t, F.lit("")))) / F.length(t)
+    return bind(lowered, lambda s: F.aggregate(F.transform(lit_array(terms), one(s)), F.lit(0.0), lambda acc, x: acc + x)).cast("long")
 
 
 # --- classification ------------------------------------------------------------------------
@@ -115,12 +121,12 @@ def first_group(lowered: Column, groups, default: str) -> Column:
 
 
 def first_match_domain(col: Column) -> Column:
-    return first_group(F.lower(col), lex.DOMAIN_KEYWORDS, "general")
+    return bind(F.lower(col), lambda s: first_group(s, lex.DOMAIN_KEYWORDS, "general"))
 
 
 def layer_by_keyword(label: Column, groups=lex.LAYER_KEYWORDS_LONG, default: str = "unknown") -> Column:
-    return F.when(F.coalesce(label, F.lit("")) == "", F.lit("unknown" if default != "other" else "other")).otherwise(
-        first_group(F.lower(label), groups, default))
+    blank = F.lit("unknown" if default != "other" else "other")
+    return F.when(F.coalesce(label, F.lit("")) == "", blank).otherwise(bind(F.lower(label), lambda s: first_group(s, groups, default)))
 
 
 def keyword_value(predicate: Column, table, default: float = 0.0) -> Column:
@@ -171,7 +177,7 @@ def parse_triple_lines(df: DataFrame, text: str = "text") -> DataFrame:
 def simple_entities(col: Column, terms=lex.NAMED_TERMS) -> Column:
     """Capitalised words and the named terms found in any case, distinct and sorted."""
     caps = F.regexp_extract_all(col, F.lit(r"\b[A-Z][a-zA-Z]+\b"), F.lit(0))
-    named = F.filter(lit_array(terms), lambda t: F.contains(F.lower(col), F.lower(t)))
+    named = bind(F.lower(col), lambda s: F.filter(lit_array(terms), lambda t: F.contains(s, F.lower(t))))
     return F.array_sort(F.array_distinct(F.concat(caps, named)))
 
 

@@ -20,6 +20,7 @@ from threadgraph.functions.text import stable_id
 from threadgraph.functions.vectors import dimension, vec_add, vec_cosine, vec_unit, weighted_sum
 from threadgraph.operators.common import first_by, top_k
 from threadgraph.operators.graph import simple_edges
+from threadgraph.session import materialize
 
 PIVOTS = 16
 BLOCK_ROWS = 4096
@@ -274,6 +275,7 @@ def propagate(vectors: DataFrame, links: DataFrame, rounds: int = 3) -> DataFram
         mean = weighted_sum(near, ["graph_id", "source"], dim).select("graph_id", F.col("source").alias("id"), F.col("vec").alias("m"))
         zero = F.array_repeat(F.lit(0.0), dim)
         h = h.join(mean, ["graph_id", "id"], "left").select("graph_id", "id", vec_unit(vec_add(F.col("vec"), F.coalesce("m", zero))).alias("vec"))
+        h = materialize(h)  # each round reads the last one twice
     return h
 
 
