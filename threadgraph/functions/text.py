@@ -209,7 +209,7 @@ def parse_summary_sections(df: DataFrame, text: str = "text") -> DataFrame:
     secs = df.select(*rest, F.posexplode(F.split(F.col(text), r"(?=\d+\.\s*\*\*)")).alias("_i", "sec")).filter(F.col("sec").rlike(r"^\d+\.\s*\*\*"))
     secs = secs.withColumn("title", F.regexp_extract("sec", r"^\d+\.\s*\*\*(.*?):?\*\*", 1))
     body = F.regexp_replace("sec", r"^\d+\.\s*\*\*(.*?)\*\*:?", "")
-    bullets = F.filter(F.transform(F.split(body, r"(?:^|\n)\s*-\s*"), lambda b: F.trim(b)), lambda b: b != "")
+    bullets = F.filter(F.transform(F.split(body, r"(?:^|\n)\s*-\s*"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
     number = F.regexp_extract("sec", r"^(\d+)", 1).cast("long")
     return secs.select(*rest, number.alias("section"), "title", F.posexplode_outer(bullets).alias("bullet_no", "bullet"))
 
@@ -273,13 +273,15 @@ def paper_rows(df: DataFrame, fields=("content", "Topics", "text", "body")) -> D
 def join_texts(df: DataFrame, key: str, order: str, text: str, max_chars: int = 200000) -> DataFrame:
     """Texts of one key in order, blank line between, cut at ``max_chars`` plus "...".
 
-    A running length per (key, order) keeps only the texts that start before the cut, so
-    a key with very many texts never gathers more than the visible part.
+    Every text adds at least its separator, so the first ``max_chars / 2 + 1`` texts fill the
+    cut; that limit applies inside each task, before a key is brought together.
     """
     from pyspark.sql import Window
 
+    from threadgraph.operators.common import top_k
+
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    part = df.select(key, order, F.substring(text, 1, max_chars + 1).alias("t"))
+    part = top_k(df.select(key, order, F.substring(text, 1, max_chars + 1).alias("t")), [key], [F.col(order)], max_chars // 2 + 1)
     part = part.withColumn("start", F.coalesce(F.sum(F.length("t") + 2).over(w), F.lit(0))).filter(F.col("start") <= max_chars)
     body = part.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "t"))), lambda x: x["t"]), "\n\n").alias("t"))
     return body.select(key, truncate(F.col("t"), max_chars).alias("text"))

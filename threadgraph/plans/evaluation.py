@@ -71,9 +71,15 @@ def overall_by_model(long: DataFrame, n_metrics: int) -> DataFrame:
     return long.groupBy("eval_id", "model").agg((F.sum(F.coalesce("value", F.lit(0.0))) / n_metrics).alias("overall"))
 
 
+def with_share(counts: DataFrame, col: str) -> DataFrame:
+    """Adds each row's percentage of the total; the total is one row, joined, not a global window."""
+    total = counts.agg(F.sum(col).alias("_total")).withColumn("_k", F.lit(1))
+    out = counts.withColumn("_k", F.lit(1)).join(total, "_k")
+    return out.withColumn("share", rnd(100.0 * F.col(col) / F.col("_total"))).drop("_k", "_total")
+
+
 def win_distribution(best: DataFrame, col: str = "best_model") -> DataFrame:
-    out = best.groupBy(col).agg(F.count(F.lit(1)).alias("wins"))
-    return out.withColumn("share", rnd(100.0 * F.col("wins") / F.sum("wins").over(Window.partitionBy())))
+    return with_share(best.groupBy(col).agg(F.count(F.lit(1)).alias("wins")), "wins")
 
 
 def gap_stats(best: DataFrame, exact: bool = True) -> DataFrame:
@@ -98,8 +104,7 @@ def bounded_ratio_stats(df: DataFrame, col: str, low: float, high: float) -> Dat
 
 def source_distribution(df: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """Counts and shares per value combination, most frequent first."""
-    c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("share", rnd(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())))
+    c = with_share(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "n")
     return c.orderBy(F.col("n").desc(), *keys).limit(top)
 
 
@@ -144,10 +149,12 @@ def two_sided_p(r: float, n: int) -> float:
         return float("nan")
     if abs(r) >= 1.0:
         return 0.0
+    if r == 0.0:
+        return 1.0
     df = n - 2
     t2 = r * r * df / (1.0 - r * r)
     a, b, x = df / 2.0, 0.5, df / (df + t2)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(t2 / (df + t2)))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_cf(a, b, x) / a
     return 1.0 - front * _beta_cf(b, a, 1.0 - x) / b

@@ -279,20 +279,21 @@ def next_steps(states: DataFrame, triples: DataFrame, cont: int = 20, expand: in
     side = lambda e, is_subject: F.struct(F.col(e).alias("entity"), F.lit(is_subject).alias("out"))
     ends = triples.select("*", F.explode(F.array(side("subject", True), side("object", False))).alias("_e")).select(*triples.columns, "_e.entity", "_e.out")
     ends = top_k(ends, ["graph_id", "entity", "out"], [F.col("seq")], max(cont, expand))
-    front = states.select("*", F.explode("entities").alias("entity"))
-    front = front.withColumn("near", (F.col("entity") == F.col("last_object")) | F.coalesce(F.col("entity") == F.col("second_object"), F.lit(False)))
-    front = front.filter(F.col("near") | (F.col("n") < short))
-    j = front.join(ends, ["graph_id", "entity"])
-    j = j.withColumn("kind", F.when(F.col("near") & F.col("out"), 0).otherwise(1)).filter((F.col("kind") == 0) | (F.col("n") < short))
+    # only keys and flags of a state travel through the limits; its arrays join back once
+    front = states.select("graph_id", "path_key", "n", "last_object", "second_object", F.explode("entities").alias("entity"))
+    near = (F.col("entity") == F.col("last_object")) | F.coalesce(F.col("entity") == F.col("second_object"), F.lit(False))
+    front = front.select("graph_id", "path_key", "n", "entity", near.alias("near")).filter(F.col("near") | (F.col("n") < short))
+    j = front.join(ends, ["graph_id", "entity"]).withColumn("kind", F.when(F.col("near") & F.col("out"), 0).otherwise(1))
+    j = j.filter((F.col("kind") == 0) | (F.col("n") < short))
     once = first_by(j.drop("entity", "near", "out"), ["graph_id", "path_key", "seq"], ["kind"])
     # follow-ups also touch the path, so they count in both lists, each with its own limit
     a = top_k(once.filter("kind = 0"), ["graph_id", "path_key"], [F.col("seq")], cont)
     b = top_k(once.filter(F.col("n") < short), ["graph_id", "path_key"], [F.col("seq")], expand).withColumn("kind", F.lit(1))
-    both = first_by(a.unionByName(b), ["graph_id", "path_key", "subject", "object"], ["kind", "seq"])
+    both = first_by(a.unionByName(b), ["graph_id", "path_key", "subject", "object"], ["kind", "seq"]).drop("n")
+    full = both.join(states, ["graph_id", "path_key"])
     back = (F.col("subject") == F.col("last_object")) & (F.col("object") == F.col("last_subject"))
     met = F.size(F.filter("steps", lambda s: (s["subject"] == F.col("object")) | (s["object"] == F.col("object"))))
-    ok = both.filter(~back & (met < 3))
-    return top_k(ok, ["graph_id", "path_key"], [F.col("kind"), F.col("seq")], cap)
+    return top_k(full.filter(~back & (met < 3)), ["graph_id", "path_key"], [F.col("kind"), F.col("seq")], cap)
 
 
 def with_reward(states: DataFrame, target: str | None = None) -> DataFrame:
