@@ -121,8 +121,12 @@ def test_degrees_and_clustering(data):
 
 def test_report_and_isolated(data):
     nodes, links = data
-    r = {x["graph_id"]: x for x in cn.connectivity_report(nodes, links).collect()}
-    assert r["two"]["isolated_count"] == 25 and r["two"]["components"] == 27 and r["star"]["hubs"] == ["c"]
+    summary, details = cn.connectivity_report(nodes, links)
+    r = {x["graph_id"]: x for x in summary.collect()}
+    assert r["two"]["isolated_count"] == 25 and r["two"]["components"] == 27 and r["star"]["hub_count"] == 1
+    rows = details.filter("graph_id in ('two', 'star')").collect()
+    assert [(x["key"], x["value"]) for x in rows if x["graph_id"] == "star" and x["kind"] == "hub"] == [("c", 6)]
+    assert sum(x["kind"] == "isolated" for x in rows) == 25
     iso = g.isolated_nodes(nodes, links)
     groups = nodes.sparkSession.createDataFrame([("two", "A", 2), ("two", "B", 5)], "graph_id string, group string, size int")
     got = cn.assign_isolated(iso, groups, 20).groupBy("group").count().collect()

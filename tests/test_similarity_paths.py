@@ -109,3 +109,29 @@ def test_p_values():
     r = 2.0 / np.sqrt(10 + 4.0)
     assert abs(ev.two_sided_p(r, 12) - 0.073388) < 1e-5
     assert ev.two_sided_p(0.0, 30) == pytest.approx(1.0)
+
+
+def test_topic_match_mixes_vectors_and_tokens(spark):
+    from threadgraph.operators.joins import topic_match
+
+    vec = spark.createDataFrame([("cloud", [1.0, 0.0]), ("server farm", [0.9, 0.1]), ("apple tree", [0.0, 1.0])], "topic string, vec array<double>")
+    prompts = spark.createDataFrame([("cloud",), ("big tree",), ("42",)], "prompt_topic string")
+    topics = spark.createDataFrame([("server farm",), ("apple tree",), ("no vector tree",)], "topic string")
+    got = {(r["prompt_topic"], r["topic"]) for r in topic_match(prompts, topics, 0.3, vec).collect()}
+    assert got == {("cloud", "server farm"), ("big tree", "apple tree")}
+
+
+def test_word_overlap_brute(spark):
+    from threadgraph.operators.joins import word_overlap_match
+
+    users = {"u1": "red big ring", "u2": "blue", "u3": "none here", "u4": "green small ring box"}
+    ents = {"e1": "red ring", "e2": "big red ring", "e3": "ring", "e4": "blue box", "e5": "ring small green", "e6": "small ring green"}
+    frame = lambda d, c: spark.createDataFrame(list(d.items()), f"{c} string, label string")
+    got = {r["user_id"]: (r["entity_id"], r["shared"]) for r in word_overlap_match(frame(users, "user_id"), frame(ents, "entity_id")).collect()}
+    want = {}
+    for u, t in users.items():
+        best = max(sorted(ents), key=lambda e: len(set(t.split()) & set(ents[e].split())))
+        n = len(set(t.split()) & set(ents[best].split()))
+        if n:
+            want[u] = (best, n)
+    assert got == want

@@ -230,33 +230,34 @@ def consistency_metrics(nodes: DataFrame, links: DataFrame, adj: DataFrame | Non
         F.when(small, F.lit(1.0)).otherwise(rnd(F.col("largest_size") / F.col("n"), 4)).alias("largest_component_ratio"))
 
 
-def connectivity_report(nodes: DataFrame, links: DataFrame, hub: int = 5, listed: int = 100) -> DataFrame:
-    """Totals, isolated and predicate-like nodes, hubs, degrees and component sizes per graph.
+def connectivity_report(nodes: DataFrame, links: DataFrame, hub: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Summary per graph, and the whole id lists behind it as rows.
 
-    Id lists show the first ``listed`` ids next to their exact counts.
+    Details are (graph_id, kind, key, value): isolated and predicate-like node ids, hubs with
+    their degree and components with their size; rows instead of arrays, so a large graph
+    never has to fit into one record.
     """
     deg = degrees(links)
-    d = deg.groupBy("graph_id").agg(F.avg("degree").alias("average_degree"), F.max("degree").alias("max_degree"),
-                                    F.sum(F.when(F.col("degree") >= hub, 1).otherwise(0)).alias("hub_count"))
-    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total_nodes"),
-                                      F.sum(F.when(predicate_like_id(F.col("id")) | predicate_like_label(F.col("label")), 1).otherwise(0)).alias("predicate_nodes"))
-    l = links.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total_links"))
-    iso = isolated_nodes(nodes, links).groupBy("graph_id").agg(F.count(F.lit(1)).alias("isolated_count"))
-    hubs = top_k(deg.filter(F.col("degree") >= hub), ["graph_id"], [F.col("degree").desc(), F.col("id")], listed, "rn").groupBy("graph_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("hubs"))
+    iso = isolated_nodes(nodes, links)
+    pred = nodes.filter(predicate_like_id(F.col("id")) | predicate_like_label(F.col("label")))
+    hubs = deg.filter(F.col("degree") >= hub)
     comps = connected_components(nodes, materialize(adjacency(valid_links(nodes, links))))
-    sizes = comps.groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size"))
-    c = sizes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("components"))
-    top = top_k(sizes, ["graph_id"], [F.col("size").desc(), F.col("component")], listed).groupBy("graph_id").agg(
-        F.sort_array(F.collect_list("size"), asc=False).alias("component_sizes"))
-    out = n
-    for extra in (l, iso, d, hubs, c, top):
+    sizes = materialize(comps.groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size")))
+    row = lambda df, kind, key, value: df.select("graph_id", F.lit(kind).alias("kind"), F.col(key).alias("key"), value.cast("long").alias("value"))
+    none = F.lit(None)
+    details = row(iso, "isolated", "id", none).unionByName(row(pred, "predicate", "id", none)).unionByName(
+        row(hubs, "hub", "id", F.col("degree"))).unionByName(row(sizes, "component", "component", F.col("size")))
+
+    count = lambda df, name: df.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name))
+    out = count(nodes, "total_nodes")
+    for extra in (count(links, "total_links"), count(iso, "isolated_count"), count(pred, "predicate_nodes"), count(hubs, "hub_count"), count(sizes, "components"),
+                  deg.groupBy("graph_id").agg(F.avg("degree").alias("average_degree"), F.max("degree").alias("max_degree")),
+                  sizes.groupBy("graph_id").agg(F.max("size").alias("largest_component"))):
         out = out.join(extra, "graph_id", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
-    return out.select(
-        "graph_id", "total_nodes", zero("total_links"), zero("isolated_count"), zero("predicate_nodes"), zero("hub_count"),
-        F.coalesce("hubs", F.array().cast("array<string>")).alias("hubs"), rnd(F.coalesce("average_degree", F.lit(0.0)), 4).alias("average_degree"),
-        zero("max_degree"), "components", "component_sizes")
+    summary = out.select("graph_id", "total_nodes", *[zero(c) for c in ("total_links", "isolated_count", "predicate_nodes", "hub_count", "max_degree")],
+                         rnd(F.coalesce("average_degree", F.lit(0.0)), 4).alias("average_degree"), "components", "largest_component")
+    return summary, details
 
 
 def assign_isolated(isolated: DataFrame, groups: DataFrame, limit: int = 20) -> DataFrame:

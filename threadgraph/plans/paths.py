@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadgraph.functions import lexicons as lex
-from threadgraph.functions.text import keyword_value, pair_value
+from threadgraph.functions.text import keyword_value, layer_by_keyword, pair_value
 from threadgraph.operators.common import first_by, rnd, top_k
 from threadgraph.session import materialize
 
@@ -28,6 +28,16 @@ def relation_quality(predicate: Column) -> Column:
     return keyword_value(predicate, lex.RELATION_QUALITY)
 
 
+def resolve_entity_types(nodes: DataFrame, groups=lex.LAYER_KEYWORDS_LONG) -> DataFrame:
+    """Layer per label: the node's own layer, else the prototype layer (``layer_found``, if
+    present), else the keyword layer; labels without one of the four layers are left out."""
+    known = lambda c: F.when(F.lower(c).isin(*LAYERS), F.lower(c))
+    options = [known(c) for c in ("domain_type", "layer_found") if c in nodes.columns]
+    layer = F.coalesce(*options, layer_by_keyword(F.col("label"), groups))
+    rows = nodes.select("graph_id", "label", "id", layer.alias("layer")).filter(F.col("layer").isin(*LAYERS))
+    return first_by(rows, ["graph_id", "label"], ["id"]).select("graph_id", "label", "layer")
+
+
 # --- features and reward -------------------------------------------------------------------
 
 def with_previous(steps: DataFrame) -> DataFrame:
