@@ -62,8 +62,3 @@ def bucketed_index(df: DataFrame, keys: Sequence[str], bucket: str, order: Seque
     sizes = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = df.withColumn("_rn", F.row_number().over(inner) - 1)
     return local.join(sizes, [*keys, bucket]).select(*df.columns, (F.col("_rn") + F.col("_off")).cast("long").alias(name))
-
-
-def salted_sum_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    """Row counts per key; Spark pre-aggregates per task, so hot keys are already split."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
