@@ -44,11 +44,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     names of measures are replaced. Memory: a few arrays of the words of one row.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    has_word = lambda s: F.length(F.regexp_replace(s, SPACE, "")) > 0
-    lines = F.filter(F.split(t, "\n"), has_word)
-    step = docs.withColumns({"_w": F.filter(F.split(t, SPACE), lambda w: w != ""), "_l": lines})
+    bare = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+    step = docs.withColumns({"_w": words, "_l": F.filter(F.split(t, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("_w")
-    window = lambda i: F.struct(F.array_join(F.slice("_w", i, 3), " ").alias("k"), i.alias("i"))
+    part = lambda k: F.slice("_w", k, n - 2)
+    windows = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), F.sequence(F.lit(1), n - 2).alias("i"))
     step = step.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
@@ -59,11 +60,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bullets": F.size(F.filter("_l", lambda s: s.rlike(r"^[\x20\t]*[•*\-–] "))).cast("long"),
         "n_ellipses": F.size(F.filter("_l", lambda s: s.rlike(r"(\.\.\.|…)[\x20\t\r]*$"))).cast("long"),
         # windows sorted by their words: equal ones become neighbours
-        "_s": F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(1), n - 2), window))),
+        "_s": F.when(n >= 3, F.sort_array(windows)),
     })
     last = F.size("_s") - 1
-    same = lambda x, k, j: F.element_at("_s", j + 1)["k"] == x["k"]
-    twice = lambda x, k: F.when((k > 0) & same(x, k, k - 1), x["i"]).when((k < last) & same(x, k, k + 1), x["i"])
+    same = lambda x, y: (x["c"] == y["c"]) & (x["b"] == y["b"]) & (x["a"] == y["a"])
+    near = lambda x, k: ((k > 0) & same(x, F.element_at("_s", k))) | ((k < last) & same(x, F.element_at("_s", k + 2)))
+    twice = lambda x, k: F.when(near(x, k), x["i"])
     step = step.withColumn("_d", F.array_compact(F.transform("_s", twice)))
     covered = F.array_distinct(F.flatten(F.transform("_d", lambda i: F.array(i, i + 1, i + 2))))
     step = step.withColumn("n_repeat_words", F.coalesce(F.size(covered), F.lit(0)).cast("long"))
