@@ -43,8 +43,11 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["fp"] == b["fp"])
+def attach(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join two tables of documents by ``doc_id`` (null ids match) and ``fp``; keys appear once."""
+    r = right.withColumnsRenamed({"doc_id": "_doc_id", "fp": "_fp"})
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("fp") == F.col("_fp"))
+    return left.join(r, on, how).drop("_doc_id", "_fp")
 
 
 def span_text(spans: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadgraph.llm import query
-from threadgraph.llm.common import documents, same_row, span_text, stored, table
+from threadgraph.llm.common import attach, documents, span_text, stored, table
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 REACH = 200
@@ -104,13 +104,13 @@ def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
     told = bins.select("doc_id", "fp", F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), F.lit(-d).alias("side")) for d in (-1, 0, 1)])).alias("t"), *names)
     told = told.select("doc_id", "fp", "t.bin", "t.side", *names)
     wide = told.groupBy("doc_id", "fp", "bin").agg(*[F.max(F.when(F.col("side") == side, F.col(n))).alias(f"{n}_{side + 1}") for side in (-1, 0, 1) for n in names])
-    w = rows.filter(F.col("kind").isin("identifier", "secret", "endpoint")).alias("r")
-    v = wide.alias("v")
-    on = F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r.fp") == F.col("v.fp")) & (F.col("r.bin") == F.col("v.bin"))
+    w = rows.filter(F.col("kind").isin("identifier", "secret", "endpoint"))
+    v = wide.withColumnsRenamed({"doc_id": "_doc_id", "fp": "_fp", "bin": "_bin"})
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("fp") == F.col("_fp")) & (F.col("bin") == F.col("_bin"))
     near = lambda n: (F.coalesce(F.col(f"{n}_hi_0") >= F.col("start") - reach, F.lit(False)) | F.col(f"{n}_lo_1").isNotNull()
                       | F.coalesce(F.col(f"{n}_lo_2") <= F.col("start") + reach, F.lit(False)))
     complete = F.when(F.col("kind") == "secret", near("id") | near("end")).otherwise(near("sec"))
-    hits = w.join(v, on).filter(complete).select("r.doc_id", "r.fp", "kind", "start", "end")
+    hits = w.join(v, on).filter(complete).select("doc_id", "fp", "kind", "start", "end")
     return hits.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
 
 
@@ -122,10 +122,10 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """
     found = stored(scan(documents(docs)))
     links = link_parts(found, reach)
-    out = found.join(links, same_row(found, links), "left")
+    out = attach(found.select("doc_id", "fp", "base"), links)
     inside = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     linked = F.filter(F.coalesce("linked", F.array().cast(_SPAN)), lambda s: ~inside(s))
-    return out.select(found["doc_id"], found["fp"], found["base"], linked.alias("linked"))
+    return out.select("doc_id", "fp", "base", linked.alias("linked"))
 
 
 def _ranked(spans: str) -> Column:
