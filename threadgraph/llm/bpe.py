@@ -32,7 +32,7 @@ from threadgraph.llm import query
 from threadgraph.llm.common import discard, stored, table
 
 CHUNK_WORDS = 1_000_000
-HOT_WORDS = 300_000
+HOT_WORDS = 200_000
 
 # The normaliser and splitter that the vocabulary file names.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -103,15 +103,16 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     return counted.mapInArrow(encode, "word string, n bigint, ids binary")
 
 
-def chunks(docs: DataFrame, path: str, known: dict[str, int]) -> DataFrame:
-    """One row per chunk: documents as positions in [known words] + [the chunk's other words]."""
-    kind = docs.schema["doc_id"].dataType
-    spark_kind = kind.simpleString()
-    start = len(known)
-    held = docs.sparkSession.sparkContext.broadcast(known)
+def chunks(docs: DataFrame, path: str, hot) -> DataFrame:
+    """One row per chunk: documents as positions in [words of ``hot``] + [the chunk's other words].
+
+    ``hot`` is a broadcast Arrow table of words; its size is fixed by the caller.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        known = held.value
+        known = {w: k for k, w in enumerate(hot.value.column("word").to_pylist())}
+        start = len(known)
         own: dict[str, int] = {}
         ids, sizes, codes, total = [], [], [], 0
 
@@ -138,7 +139,7 @@ def chunks(docs: DataFrame, path: str, known: dict[str, int]) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInArrow(cut, f"chunk bigint, doc_ids array<{spark_kind}>, sizes array<int>, codes binary, words array<string>")
+    return docs.mapInArrow(cut, f"chunk bigint, doc_ids array<{kind}>, sizes array<int>, codes binary, words array<string>")
 
 
 def encode_decode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -150,10 +151,8 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> Dat
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
     words = stored(word_table(docs, path))
-    hot = words.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").collect()
-    known = {r["word"]: k for k, r in enumerate(hot)}
-    hot_ids = spark.sparkContext.broadcast([bytes(r["ids"]) for r in hot])
-    cut = stored(chunks(docs, path, known))
+    hot = spark.sparkContext.broadcast(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow())
+    cut = stored(chunks(docs, path, hot))
     rest = cut.select("chunk", F.posexplode("words").alias("at", "word"))
     found = rest.join(words.select("word", "ids"), "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
     found = stored(found)
@@ -162,7 +161,7 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> Dat
 
     def build(batches):
         pieces = np.array(_settings(path)[2], dtype=object)
-        hot_part = hot_ids.value
+        hot_part = hot.value.column("ids").to_pylist()
         hot_len = np.fromiter((len(x) // 4 for x in hot_part), np.int64, len(hot_part))
         hot_flat = np.frombuffer(b"".join(hot_part), "<u4")
         for b in batches:
