@@ -31,10 +31,11 @@ def test_base_like_plain_patterns(spark):
     bits = ["a@b.c", "%", "@", ".", "x@y.z%d@e.f", "1", "23", "4556737586899855", "4556 7375 8689 9855", "4556-7375-8689-985", "-", " ", "255.1.2.3", "256.1.1.1", "1.2.3.4.5", "+1 (555) 123-4567", "+",
             "(", ")", "é", "😀", "word", "\n", "001.02.003.4", "79927398713", "+49 30 1234567890123", "4111111111111111"]
     rows = list(TEXTS) + [(100 + i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))) for i in range(300)]
-    rows += [(900, "a" * 200000), (901, "1" * 200000), (902, "1 " * 50000), (903, "a@b" + ".c" * 50000), (904, "+1" + "(" * 100000), (905, "mail me x@y.zz " * 3000)]
+    rows += [(900, "a" * 4000), (901, "1" * 4000), (902, "1 " * 2000), (903, "a@b" + ".c" * 2000), (904, "+1" + "(" * 4000), (905, "mail me x@y.zz " * 3000)]
     df = docs(spark, rows)
     spans = P.find_pii(df)
-    out = P.per_document(documents(df), spans).select("doc_id", "text", F.filter("spans", lambda s: s["base"]).alias("s"), P.redact(F.col("text"), F.col("spans")).alias("r")).collect()
+    out = P.per_document(documents(df), spans).withColumn("whole", F.col("text"))
+    out = P.redact(out).select("doc_id", F.col("whole").alias("text"), F.filter("spans", lambda s: s["base"]).alias("s"), F.col("text").alias("r")).collect()
     assert len(out) == len(rows)
     for r in out:
         assert [(s["start"], s["kind"], s["end"]) for s in r["s"]] == sorted(brute(r["text"]), key=lambda x: (x[0], P.KINDS.index(x[1]))), r["doc_id"]

@@ -146,17 +146,19 @@ def per_document(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return attach(docs, lists).withColumn("spans", F.coalesce("spans", empty))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by ``[KIND]`` of the first."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-    add = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("out"))).otherwise(
-        F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.struct(
-            F.element_at(s["out"], -1)["start"].alias("start"), F.greatest(s["at"], x["end"]).alias("end"), F.element_at(s["out"], -1)["kind"].alias("kind")))).alias("out")))
-    merged = F.aggregate(spans, state, add, lambda s: s["out"])
-    ends = lambda m, k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(m, k)["end"])
-    m = merged
-    body = F.array_join(F.transform(m, lambda x, k: F.concat(F.substr(text, ends(m, k) + 1, x["start"] - ends(m, k)), F.lit("["), F.upper(x["kind"]), F.lit("]"))), "")
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(body, F.substr(text, F.element_at(m, -1)["end"] + 1, F.length(text))))
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``text`` and ``spans``) with each span, or run of overlapping spans, replaced by ``[KIND]`` of the first."""
+    run = "struct<start:int,end:int,kind:string>"
+    new = lambda x: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    last = lambda s: F.element_at(s, -1)
+    longer = lambda s, x: F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["end"], x["end"]).alias("end"), last(s)["kind"].alias("kind")))
+    add = lambda s, x: F.when((F.size(s) > 0) & (x["start"] < F.try_element_at(s, F.lit(-1))["end"]), F.concat(F.slice(s, 1, F.size(s) - 1), longer(s, x))).otherwise(F.concat(s, new(x)))
+    step = docs.withColumn("_m", F.when(F.size("spans") > 0, F.aggregate("spans", F.array().cast(f"array<{run}>"), add)))
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("_m", k)["end"])
+    piece = lambda x, k: F.concat(F.substr("text", before(k) + 1, x["start"] - before(k)), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+    tail = F.substr("text", F.element_at("_m", -1)["end"] + 1, F.length("text"))
+    out = F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_m", piece), ""), tail))
+    return step.withColumn("text", out).drop("_m")
 
 
 @query("op6_pii_context")
