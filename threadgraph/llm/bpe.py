@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from threadgraph.llm import query
 from threadgraph.llm.common import discard, stored, table
 
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 750_000
 HOT_WORDS = 200_000
 
 # The normaliser and splitter that the vocabulary file names.
@@ -78,7 +78,7 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
         for _, words in _texts(batches, path):
             seen.update(words)
             size += len(words)
-            if size >= 4 * CHUNK_WORDS:
+            if size >= 2_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                 seen, size = Counter(), 0
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    return materialize(df)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Spark drops the shuffle files of a finished plan when the driver's garbage is collected;
+    asking for that here keeps one stage's files from lying beside the next one's.
+    """
+    out = materialize(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
