@@ -166,10 +166,10 @@ def strengths_q(spark, sf):
     return _r(ev.strengths_weaknesses(fx.eval_long(spark, sf), 8, ["node_count"]), "mean")
 
 
-@query("a24_model_extremes", with_views(f"""WITH m AS (SELECT model, metric, {RND('avg(value)')} AS mean FROM eval_long WHERE value>0 GROUP BY ALL)
- SELECT model, arg_max(metric, (mean, metric)) AS best_metric, arg_min(metric, (mean, metric)) AS worst_metric, 'improve '||arg_min(metric, (mean, metric)) AS recommendation FROM m GROUP BY 1"""))
+@query("a24_model_extremes", with_views(f"""WITH m AS (SELECT model, metric, {RND("avg(value)/CASE WHEN metric='node_count' THEN 10 ELSE 1 END")} AS mean FROM eval_long WHERE value>0 GROUP BY model, metric)
+ SELECT model, arg_max(metric, (mean, metric)) AS best_metric, arg_min(metric, (mean, metric)) AS worst_metric, 'Focus on improving this metric' AS recommendation FROM m GROUP BY 1"""))
 def extremes_q(spark, sf):
-    return ev.model_extremes(fx.eval_long(spark, sf))
+    return ev.model_extremes(fx.eval_long(spark, sf), ["node_count"])
 
 
 @query("a25_core_vs_enhanced_gap", with_views(f"""WITH m AS (SELECT model, metric, avg(value) AS mean FROM eval_long WHERE value>0 GROUP BY ALL), g AS (SELECT model, avg(mean) FILTER (metric IN ('discount','tax')) AS c, avg(mean) FILTER (metric NOT IN ('discount','tax'))/10 AS e FROM m GROUP BY 1)

@@ -158,9 +158,9 @@ def surrogate_q(spark, sf):
     return fx.triples(spark, sf).select("seq", tx.surrogate_id(F.col("graph_id"), F.col("seq"), "user").alias("surrogate"))
 
 
-@query("p26_paper_rows", "SELECT doc_id, CASE WHEN doc_id%2=0 THEN 0.5 ELSE n_chars/100.0::DOUBLE END AS score, substr(split_part(text, chr(10), 1), 1, 100) AS title FROM documents WHERE trim(text)<>''")
+@query("p26_paper_rows", "SELECT doc_id, CASE WHEN doc_id%2=0 OR n_chars//100=0 THEN 0.5 ELSE (n_chars//100)::DOUBLE END AS score, substr(split_part(text, chr(10), 1), 1, 100) AS title FROM documents WHERE trim(text)<>''")
 def papers_q(spark, sf):
-    d = doc(spark, sf).select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 1, F.col("n_chars") / 100.0).alias("_score"))
+    d = doc(spark, sf).select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 1, F.floor(F.col("n_chars") / 100).cast("double")).alias("_score"))
     return tx.paper_rows(d).select("doc_id", "score", "title")
 
 

@@ -215,3 +215,14 @@ SUBGRAPH_PRIORITY = {
     "mcts": ["combined_subgraph", "mcts_reasoning_path", "traversal"],
     "default": ["combined_subgraph"],
 }
+
+# What a report advises for the weakest metric, and for any other.
+RECOMMENDATIONS = {
+    "actionability": "Make instructions more specific and implementable with concrete steps",
+    "coherence": "Improve step-by-step sequencing and logical flow between instructions",
+    "domain_specificity": "Include more domain-specific terminology and context",
+    "technological_specificity": "Add specific tools, APIs, and technical implementation details",
+    "understandability_enhanced": "Simplify language, improve structure, and reduce cognitive load",
+    "user_focus_enhanced": "Better preserve user intent and align with original prompt requirements",
+}
+RECOMMENDATION = "Focus on improving this metric"

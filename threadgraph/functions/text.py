@@ -263,7 +263,7 @@ def paper_rows(df: DataFrame, fields=("content", "Topics", "text", "body")) -> D
     """Display rows of search hits: content, score, title; blank content is dropped."""
     have = [F.nullif(F.col(f), F.lit("")) for f in fields if f in df.columns]
     content = F.coalesce(*have, F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    scores = [F.col(c) for c in ("score", "_score") if c in df.columns]
+    scores = [F.nullif(F.col(c), F.lit(0)) for c in ("score", "_score") if c in df.columns]  # no score and 0 are one
     out = df.withColumn("content", content).withColumn("score", F.coalesce(*scores, F.lit(0.5)))
     line = F.substring(F.substring_index("content", "\n", 1), 1, 100)
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), line) if "title" in df.columns else line
@@ -281,7 +281,7 @@ def join_texts(df: DataFrame, key: str, order: str, text: str, max_chars: int =
     from threadgraph.operators.common import top_k
 
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    part = top_k(df.select(key, order, F.substring(text, 1, max_chars + 1).alias("t")), [key], [F.col(order)], max_chars // 2 + 1)
+    part = top_k(df.filter(F.col(text).isNotNull()).select(key, order, F.substring(text, 1, max_chars + 1).alias("t")), [key], [F.col(order)], max_chars // 2 + 1)
     part = part.withColumn("start", F.coalesce(F.sum(F.length("t") + 2).over(w), F.lit(0))).filter(F.col("start") <= max_chars)
     body = part.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "t"))), lambda x: x["t"]), "\n\n").alias("t"))
     return body.select(key, truncate(F.col("t"), max_chars).alias("text"))

@@ -41,7 +41,7 @@ def adjacency(links: DataFrame) -> DataFrame:
     return both_ways(simple_edges(links))
 
 
-def connected_components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Smallest node id of the component of every node, in about log(n) rounds.
 
     Each round takes the smallest grandparent seen over a node's neighbours, hooks both the
@@ -50,7 +50,7 @@ def connected_components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 60)
     """
     state = nodes.select("graph_id", F.col("id").alias("node")).distinct().withColumn("f", F.col("node"))
     state = materialize(state)
-    for _ in range(max_rounds):
+    while True:
         parent = state.select("graph_id", F.col("node").alias("f"), F.col("f").alias("gf"))
         s = state.join(parent, ["graph_id", "f"])  # graph_id, f, node, gf
         near = adj.join(s.select("graph_id", F.col("node").alias("nbr"), "gf"), ["graph_id", "nbr"])
@@ -103,7 +103,7 @@ def weighted_links(nodes: DataFrame, links: DataFrame, hub: int = 5) -> DataFram
 
 # --- shortest paths ------------------------------------------------------------------------
 
-def shortest_distances(nodes: DataFrame, adj: DataFrame, weight: str | None = None, max_rounds: int = 200) -> DataFrame:
+def shortest_distances(nodes: DataFrame, adj: DataFrame, weight: str | None = None) -> DataFrame:
     """All-pairs distances inside components: graph_id, source, node, d (long).
 
     Only pairs improved in the last round are extended. Weights are compared as whole
@@ -113,7 +113,7 @@ def shortest_distances(nodes: DataFrame, adj: DataFrame, weight: str | None = No
     hop = adj.select("graph_id", "node", "nbr", w.alias("w"))
     dist = materialize(nodes.select("graph_id", F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("d")).distinct())
     frontier = dist
-    for _ in range(max_rounds):
+    while True:
         cand = frontier.join(hop, ["graph_id", "node"]).groupBy("graph_id", "source", F.col("nbr").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("c"))
         better = cand.join(dist, ["graph_id", "source", "node"], "left").filter(F.col("d").isNull() | (F.col("c") < F.col("d")))
         frontier = materialize(better.select("graph_id", "source", "node", F.col("c").alias("d")))
@@ -136,7 +136,7 @@ def path_length_stats(dist: DataFrame) -> DataFrame:
         .otherwise(0.0).alias("path_length_variance"))
 
 
-def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Unnormalised node and edge betweenness over all sources.
 
     Shortest-path edges of every source form a DAG. Path counts flow forward and
@@ -151,7 +151,7 @@ def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None, max_
 
     cur = d.filter("source = node").select("graph_id", "source", F.col("node").alias("v"), F.lit(1.0).alias("x"))
     counts = [cur]
-    for _ in range(max_rounds):
+    while True:
         cur = materialize(dag.join(cur, ["graph_id", "source", "v"]).groupBy("graph_id", "source", F.col("w").alias("v")).agg(F.sum("x").alias("x")))
         if cur.limit(1).count() == 0:
             break
@@ -239,7 +239,7 @@ def connectivity_report(nodes: DataFrame, links: DataFrame, hub: int = 5) -> tup
     """
     deg = degrees(links)
     iso = isolated_nodes(nodes, links)
-    pred = nodes.filter(predicate_like_id(F.col("id")) | predicate_like_label(F.col("label")))
+    pred = nodes.filter(predicate_like_id(F.col("id")))
     hubs = deg.filter(F.col("degree") >= hub)
     comps = connected_components(nodes, materialize(adjacency(valid_links(nodes, links))))
     sizes = materialize(comps.groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size")))

@@ -362,7 +362,7 @@ def graph_text(links: DataFrame, max_chars: int = 50000) -> DataFrame:
     Only lines that start before the cut can show up, so the line list is reduced to that
     many lines per graph by a running length over (bucket, line) before it is joined.
     """
-    line = links.select("graph_id", "seq", F.concat_ws(" ", "source", "label", "target").alias("line"))
+    line = links.select("graph_id", "seq", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("source", "label", "target")]).alias("line"))
     # every line adds at least its own length plus a newline; k lines always fill the text
     k = max_chars // 3 + 1
     first = top_k(line, ["graph_id"], [F.col("seq")], k)

@@ -12,7 +12,7 @@ from threadgraph.operators.graph import (
 )
 from threadgraph.operators.similarity import graph_conv_embed, semantic_connections, similarity_connections, topk_per_level
 from threadgraph.plans.paths import beam_search, path_to_graph, state_steps
-from threadgraph.plans.pruning import prune_by_similarity
+from threadgraph.plans.pruning import LADDER, prune_by_similarity
 from threadgraph.session import materialize
 
 RECORD = ["graph_id", "seq", "subject_id", "subject_label", "predicate", "object_id", "object_label", "origin", "domain_type"]
@@ -25,7 +25,7 @@ def _records(df: DataFrame, rank: int, origin: str) -> DataFrame:
 
 
 def enrich(user_triples: DataFrame, kg_nodes: DataFrame, kg_links: DataFrame, user_vectors: DataFrame, candidates: DataFrame,
-           hops: int = 1, threshold: float = 0.55, min_records: int = 10, depth: int = 6) -> dict[str, DataFrame]:
+           hops: int = 1, threshold: float = 0.55, min_records: int = 10, depth: int = 15) -> dict[str, DataFrame]:
     """User records, pruned domain records, candidate records, connections, embedding links,
     node and link tables per subgraph, overlap and a path.
 
@@ -35,7 +35,7 @@ def enrich(user_triples: DataFrame, kg_nodes: DataFrame, kg_links: DataFrame, us
     uid = lambda role: surrogate_id(F.col("graph_id"), F.col("seq"), role)
     user = _records(user_triples.withColumns({"subject_id": uid("user_s"), "object_id": uid("user_o")}), 0, "user")
 
-    nodes, links = prune_by_similarity(kg_nodes, kg_links, user_vectors, hops)
+    nodes, links = prune_by_similarity(kg_nodes, kg_links, user_vectors, hops, ladder=[0.85, *LADDER[1:]])
     nodes = materialize(nodes)
     domain = links_to_triples(links.withColumn("origin", F.lit("domain")), nodes, "inner")
     layer = nodes.select("graph_id", F.col("id").alias("subject_id"), F.col("layer").alias("domain_type"))

@@ -8,12 +8,13 @@ row per model and metric.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadgraph.functions.lexicons import EVAL_COLUMNS
+from threadgraph.functions.lexicons import EVAL_COLUMNS, RECOMMENDATION, RECOMMENDATIONS
 from threadgraph.operators.common import rnd, top_k
 
 MODEL_ORDER = ["gnn", "mcts", "rmodel"]
@@ -111,19 +112,18 @@ def source_distribution(df: DataFrame, keys: list[str], top: int = 5) -> DataFra
 def pair_correlations(long: DataFrame) -> DataFrame:
     """Pearson r and n per model and metric pair over evaluations where both are above zero.
 
-    Metrics of one evaluation and model sit in one row after a grouped pivot, so the pairs
-    are columns and every correlation is an ordinary aggregate in one pass.
+    The metrics of one evaluation and model make a row per pair, and every correlation is an
+    aggregate over those rows, so any number of metrics is covered. A row holds the metrics of
+    one evaluation only; pairs that never occur together are left out.
     """
-    metrics = [r["metric"] for r in long.select("metric").distinct().orderBy("metric").limit(200).collect()]
-    wide = long.groupBy("eval_id", "model").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1:]]
-    both = lambda a, b, x: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(x))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        aggs += [F.corr(both(a, b, a), both(a, b, b)).alias(f"r{i}"), F.count(both(a, b, a)).alias(f"n{i}")]
-    agg = wide.groupBy("model").agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
-    return agg.select("model", F.explode(rows).alias("p")).select("model", "p.*")
+    best = long.groupBy("eval_id", "model", "metric").agg(F.max("value").alias("value"))
+    row = best.groupBy("eval_id", "model").agg(F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    first = row.select("model", "m", F.posexplode("m").alias("i", "a"))
+    pairs = first.select("model", "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    pairs = pairs.select("model", F.col("a.metric").alias("metric_a"), F.col("b.metric").alias("metric_b"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
+    both = (F.col("x") > 0) & (F.col("y") > 0)
+    return pairs.groupBy("model", "metric_a", "metric_b").agg(
+        F.corr(F.when(both, F.col("x")), F.when(both, F.col("y"))).alias("r"), F.count(F.when(both, F.col("x"))).alias("n"))
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:
@@ -223,12 +223,17 @@ def strengths_weaknesses(long: DataFrame, k: int = 8, ten_point: list[str] = ())
     return best.unionByName(worst).withColumn("rank", F.col("rank").cast("long"))
 
 
-def model_extremes(long: DataFrame) -> DataFrame:
-    """Best and worst metric per model with a recommendation for the worst."""
+def model_extremes(long: DataFrame, ten_point: Sequence[str] = ()) -> DataFrame:
+    """Best and worst metric per model with a recommendation for the worst; ten-point metrics are divided by ten first."""
     m = positive(long).groupBy("model", "metric").agg(F.avg("value").alias("mean"))
+    if ten_point:
+        m = m.withColumn("mean", F.when(F.col("metric").isin(*ten_point), F.col("mean") / 10.0).otherwise(F.col("mean")))
     out = m.groupBy("model").agg(F.max_by("metric", F.struct(rnd(F.col("mean")), F.col("metric"))).alias("best_metric"),
                                  F.min_by("metric", F.struct(rnd(F.col("mean")), F.col("metric"))).alias("worst_metric"))
-    return out.withColumn("recommendation", F.concat(F.lit("improve "), F.col("worst_metric")))
+    advice = F.lit(RECOMMENDATION)
+    for metric, text in RECOMMENDATIONS.items():
+        advice = F.when(F.col("worst_metric") == metric, F.lit(text)).otherwise(advice)
+    return out.withColumn("recommendation", advice)
 
 
 def core_vs_enhanced_gap(long: DataFrame, core: list[str], scale: float = 10.0, limit: float = 0.1) -> DataFrame:

@@ -327,7 +327,7 @@ def beam_search(triples: DataFrame, width: int = 3, depth: int = 15, per_state:
         if cur is None:
             acts = start_steps(triples).drop("start_score").join(_empty_states(triples), "graph_id")
         else:
-            acts = next_steps(cur, triples)
+            acts = next_steps(cur, triples, cap=10)
         prio = step_priority(F.col("predicate"), F.col("object_layer"), F.col("last_layer"), counts)
         acts = top_k(acts.withColumn("_p", prio), ["graph_id", "path_key"], [F.col("_p").desc(), F.col("seq")], per_state)
         grown = with_reward(_extend(acts), target).withColumn("_parent", F.regexp_replace("path_key", ">?[^>]*$", ""))
