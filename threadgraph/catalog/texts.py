@@ -301,9 +301,14 @@ def complexity_q(spark, sf):
     return sc.prompt_complexity(doc(spark, sf).select("doc_id", "text"), "text").drop("text")
 
 
-@query("t12_domain_profile", "WITH t AS (SELECT doc_id, text, " + ", ".join(f"{cnt('lower(text)', t)} AS {d}_term_frequency" for d, t in lex.DOMAIN_TERMS.items()) + f""" FROM documents)
- SELECT * EXCLUDE (text), {RND("(" + "+".join(d + "_term_frequency" for d in lex.DOMAIN_TERMS) + f")/greatest(len({wsplit('text')}),1)", 4)} AS domain_term_density,
- CASE """ + " ".join(f"WHEN {d}_term_frequency=greatest({','.join(x + '_term_frequency' for x in lex.DOMAIN_TERMS)}) THEN {q(d)}" for d in lex.DOMAIN_TERMS) + " END AS dominant_domain FROM t")
+_own = {d: toks(q(" ".join(t))) for d, t in lex.DOMAIN_TERMS.items()}
+_near = ", ".join(f"{RND(cos('w', _own[d]), 4)} AS s_{d}" for d in lex.DOMAIN_TERMS)
+_top = f"greatest({','.join('s_' + d for d in lex.DOMAIN_TERMS)})"
+
+
+@query("t12_domain_profile", f"WITH w AS (SELECT *, {toks('text')} AS w FROM documents), t AS (SELECT doc_id, text, {_near}, " + ", ".join(f"{cnt('lower(text)', t)} AS {d}_term_frequency" for d, t in lex.DOMAIN_TERMS.items()) + f""" FROM w)
+ SELECT doc_id, {", ".join(d + "_term_frequency" for d in lex.DOMAIN_TERMS)}, {RND("(" + "+".join(d + "_term_frequency" for d in lex.DOMAIN_TERMS) + f")/greatest(len({wsplit('text')}),1)", 4)} AS domain_term_density,
+ CASE """ + " ".join(f"WHEN s_{d}={_top} THEN {q(d)}" for d in lex.DOMAIN_TERMS) + f" END AS dominant_domain, {_top} AS max_domain_similarity FROM t")
 def domain_profile_q(spark, sf):
     return sc.domain_profile(doc(spark, sf).select("doc_id", "text"), "text").drop("text")
 

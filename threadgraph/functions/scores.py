@@ -201,17 +201,23 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def domain_profile(df: DataFrame, text: str = "prompt", domains=lex.DOMAIN_TERMS) -> DataFrame:
-    """Term counts per domain, density over words and the dominant domain (first on a tie)."""
+    """Term counts per domain, density over words, and the most similar domain (first on a tie).
+
+    Similarity is the token cosine between the text and all terms of a domain, to four digits.
+    """
     df = df.withColumn("_low", F.lower(text))
     low = F.col("_low")
     df = df.withColumns({f"{d}_term_frequency": lexicon_count(low, t) for d, t in domains.items()})
     total = sum((F.col(f"{d}_term_frequency") for d in domains), F.lit(0))
     n = F.greatest(F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")), F.lit(1))
-    top = F.greatest(*[F.col(f"{d}_term_frequency") for d in domains])
+    df = df.withColumns({"domain_term_density": rnd(total / n, 4), "_t": words(F.col(text))})
+    own = lambda terms: words(F.lit(" ".join(terms)))
+    df = df.withColumns({f"_s_{d}": rnd(token_cosine(F.col("_t"), own(t)), 4) for d, t in domains.items()})
+    top = F.greatest(*[F.col(f"_s_{d}") for d in domains])
     dom = F.when(F.lit(False), F.lit(""))
     for d in domains:
-        dom = dom.when(F.col(f"{d}_term_frequency") == top, F.lit(d))
-    return df.withColumns({"domain_term_density": rnd(total / n, 4), "dominant_domain": dom}).drop("_low")
+        dom = dom.when(F.col(f"_s_{d}") == top, F.lit(d))
+    return df.withColumns({"dominant_domain": dom, "max_domain_similarity": top}).drop("_low", "_t", *[f"_s_{d}" for d in domains])
 
 
 def logical_flow(df: DataFrame, text: str = "response") -> DataFrame:
