@@ -114,7 +114,7 @@ def test_ontology_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("doc_id,sub,relation,obj\n1,a,uses,b\n1,b,has,c\n2,x,has,y\n")
     t = on.scan_ontology_csv(spark, str(tmp_path / "t.csv"))
     assert on.unique_topics(t).count() == 5
-    assert cp.map_to_ontology(spark.createDataFrame([("a",)], "prompt_topic string"), t).count() == 2
+    assert cp.map_to_ontology(spark.createDataFrame([("a",)], "prompt_topic string"), t).count() == 2  # document 2 shares no concept with a
 
 
 @pytest.mark.parametrize("cols,want", [(["description", "url"], ("description", "url")), (["Content", "Query"], ("Content", "Query")), (["id", "title", "my_url"], ("title", "my_url"))])
