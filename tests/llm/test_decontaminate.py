@@ -18,7 +18,7 @@ def test_templates(spark):
     mixed = ITEM.replace("meets Alice Smith", "meets Bob").replace("did Alice Smith", "did Carol Jones")
     texts = list(TEXTS) + [(10, "Well. " + ITEM + " So it goes."), (11, "before it " + changed), (12, mixed), (13, ITEM.lower()), (14, "A train leaves town and nothing else happens here at all today."), (10, "Well. " + ITEM + " So it goes.")]
     got = leaks(spark, texts, [(1, ITEM), (2, None), (3, ""), (4, "short item here"), (5, "!!! ...")])
-    assert (10, 1, True) in got and (11, 1, False) in got
+    assert (10, 1, True) in got and (11, 1, False) in got and (13, 1, True) in got
     assert not {d for d, _, _ in got} & {12, 14, 1, 2, 3, 4, None}
     assert leaks(spark, [], [(1, ITEM)]) == set() and leaks(spark, [(1, ITEM)], []) == set()
 
