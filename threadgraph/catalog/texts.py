@@ -112,7 +112,8 @@ def urls_q(spark, sf):
     return p.withColumn("shown", tx.format_doc_id(F.col("url"))).withColumn("link", tx.resolve_doc_url(F.col("url")))
 
 
-@query("p19_parse_summary_sections")
+@query("p19_parse_summary_sections", with_views("""WITH b AS (SELECT prompt_id, 1::BIGINT AS section, 'First' AS title, 0 AS bullet_no, trim(prompt, ' ' || chr(10)) AS bullet FROM pairs
+ UNION ALL SELECT prompt_id, 1, 'First', 1, trim(response, ' ' || chr(10)) FROM pairs UNION ALL SELECT prompt_id, 2, 'Second', 0, 'end' FROM pairs) SELECT * FROM b"""))
 def sections_q(spark, sf):
     t = fx.prompt_pairs(spark, sf).select("prompt_id", F.concat(F.lit("1. **First:** - "), "prompt", F.lit("\n- "), "response", F.lit("\n2. **Second:** - end")).alias("text"))
     return tx.parse_summary_sections(t)
@@ -153,7 +154,7 @@ def stable_q(spark, sf):
     return _graph(spark, sf)[0].select("id", tx.stable_id(F.col("label"), "entity").alias("stable"))
 
 
-@query("p25_surrogate_id")
+@query("p25_surrogate_id", with_views("SELECT seq, 'user_' || substr(md5(graph_id || '|' || seq || '|user'), 1, 16) AS surrogate FROM triples"))
 def surrogate_q(spark, sf):
     return fx.triples(spark, sf).select("seq", tx.surrogate_id(F.col("graph_id"), F.col("seq"), "user").alias("surrogate"))
 

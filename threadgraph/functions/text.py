@@ -249,7 +249,7 @@ def stable_id(label: Column, prefix: str) -> Column:
 
 def surrogate_id(graph_id: Column, seq: Column, role: str) -> Column:
     """Deterministic stand-in for a random id: equal input rows keep their id on retries."""
-    return F.concat(F.lit(role + "_"), F.lpad(F.lower(F.hex(F.xxhash64(graph_id, seq, F.lit(role)))), 16, "0"))
+    return F.concat(F.lit(role + "_"), F.substring(F.md5(F.concat_ws("|", graph_id, seq.cast("string"), F.lit(role))), 1, 16))
 
 
 def filter_keywords(df: DataFrame, vocab: DataFrame, phrase: str = "phrase", drop=("our", "we")) -> DataFrame:
