@@ -150,12 +150,12 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> Dat
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    words = stored(word_table(docs, path))
+    words = stored(word_table(docs, path), free=True)
     hot = spark.sparkContext.broadcast(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow())
     cut = stored(chunks(docs, path, hot))
     rest = cut.select("chunk", F.posexplode("words").alias("at", "word"))
     found = rest.join(words.select("word", "ids"), "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    found = stored(found)
+    found = stored(found, free=True)
     discard(words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

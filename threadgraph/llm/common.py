@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Spark drops the shuffle files of a finished plan when the driver's garbage is collected;
-    asking for that here keeps one stage's files from lying beside the next one's.
+    Spark drops the shuffle files of a finished plan when the driver collects its garbage, plans
+    first and then what they held. ``free`` asks for both, after stages that shuffle much, so
+    that their files do not lie beside the next stage's.
     """
     out = materialize(df)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for wait in (0.3, 0.3) if free else ():
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(wait)
     return out
 
 

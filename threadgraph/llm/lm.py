@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from threadgraph.llm import bloom, query
 from threadgraph.llm.common import discard, stored, table
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 ADD, DISCOUNT, MIN_COUNT = 0.1, 0.75, 3
 #: Names of the start state and of the end token; words have no blanks, so neither is a word.
 START, END = " start", " end"
@@ -190,15 +190,15 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     cut = stored(chunks(docs))
     listed = cut.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("chunk", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = stored(listed.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
+    words = stored(listed.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), free=True)
     # the start is a state, not a token
     total = words.filter(F.col("word") != START).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
-    kept = stored(pair_counts(cut, min_count))
+    kept = stored(pair_counts(cut, min_count), free=True)
     found = chunk_pairs(cut, bloom.build(kept, "pair")).join(kept, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
-    with_arcs = stored(cut.drop("counts").join(found, "chunk", "left"))
+    with_arcs = stored(cut.drop("counts").join(found, "chunk", "left"), free=True)
     discard(cut, kept)
-    full = stored(words.join(kept_mass(with_arcs), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")))
+    full = stored(words.join(kept_mass(with_arcs), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
     discard(words)
     own = with_arcs.select("chunk", F.posexplode("words").alias("at", "word"))
     known = own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known"))
