@@ -47,3 +47,13 @@ def test_blocks_do_not_mix_graphs(spark):
     w = spark.createDataFrame(rows, "graph_id string, a string, b string, weight double")
     out = cm.spectral_communities(w, k=2, min_size=1).groupBy("graph_id", "id").count()
     assert out.filter("count > 1").count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=501), "b": np.concatenate([np.zeros(300), rng.exponential(size=77) ** 6]), "c": np.array([2.5])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("a", None)], "k string, v double")
+    for r in ev.exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(data[r["k"]], [0.0, 0.25, 0.5, 0.9, 1.0]))

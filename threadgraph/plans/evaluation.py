@@ -83,10 +83,38 @@ def win_distribution(best: DataFrame, col: str = "best_model") -> DataFrame:
     return with_share(best.groupBy(col).agg(F.count(F.lit(1)).alias("wins")), "wins")
 
 
-def gap_stats(best: DataFrame, exact: bool = True) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], buckets: int = 1000) -> DataFrame:
+    """Interpolated quantiles ``q0, q1, ...`` per key, exact, without a group's values in one task.
+
+    A histogram of equal-width buckets tells which bucket holds each rank; only the distinct
+    values of those buckets are put in order, bucket by bucket.
+    """
+    k = [*keys, "_one"]
+    vals = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).groupBy(*k, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = vals.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    placed = vals.join(ends, k).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(share * buckets))).select(*k, "_b", "_v", "_n")
+    before = lambda part, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hist = placed.groupBy(*k, "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", before(k, "_b"))
+    at = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(at(q)).alias("rank"), at(q).alias("at")) for i, q in enumerate(qs) for side, f in ((0, F.floor), (1, F.ceil))])
+    want = ends.select(*k, F.explode(ranks).alias("w")).select(*k, "w.*")
+    hit = hist.join(want, k).filter((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+    hit = hit.select(*k, "_b", "i", "side", "at", (F.col("rank") - F.col("_before")).alias("off"))
+    inside = placed.join(hit.select(*k, "_b").distinct(), [*k, "_b"]).withColumn("_start", before([*k, "_b"], "_v"))
+    got = inside.join(hit, [*k, "_b"]).filter((F.col("_start") <= F.col("off")) & (F.col("off") < F.col("_start") + F.col("_n")))
+    pair = got.groupBy(*k, "i").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("b"), F.max("at").alias("at"))
+    frac = F.col("at") - F.floor("at")
+    pair = pair.withColumn("v", F.col("a") * (1 - frac) + F.col("b") * frac)
+    out = pair.groupBy(*k).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(qs))])
+    return out.drop("_one") if keys else out
+
+
+def gap_stats(best: DataFrame) -> DataFrame:
     """Non-zero gaps: mean, median, maximum and the competition class of the mean."""
-    med = F.percentile("gap", F.lit(0.5)) if exact else F.percentile_approx("gap", 0.5, 10000)
-    g = best.filter("gap <> 0").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), med.alias("median"), F.max("gap").alias("max"))
+    gaps = best.filter("gap <> 0")
+    g = gaps.agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.max("gap").alias("max"), F.lit(1).alias("_one"))
+    g = g.join(exact_quantiles(gaps, [], "gap", [0.5]), "_one", "left").select("n", "mean", F.col("q0").alias("median"), "max")
     cls = F.when(F.col("mean") < 0.1, "very close").when(F.col("mean") < 0.2, "close").when(F.col("mean") < 0.3, "moderate").otherwise("clear")
     return g.withColumn("competition", cls)
 
@@ -97,8 +125,9 @@ def graph_efficiency(wide: DataFrame, nodes: str, score: str, out: str) -> DataF
 
 
 def bounded_ratio_stats(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
-    g = df.filter((F.col(col) > low) & (F.col(col) < high)).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"), F.percentile(col, F.lit(0.5)).alias("median"), F.min(col).alias("min"), F.max(col).alias("max"))
+    inside = df.filter((F.col(col) > low) & (F.col(col) < high))
+    g = inside.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"), F.lit(1).alias("_one"))
+    g = g.join(exact_quantiles(inside, [], col, [0.5]), "_one", "left").select("n", "mean", F.col("q0").alias("median"), "min", "max")
     size = F.when(F.col("mean") > 1.5, "larger").when(F.col("mean") < 0.67, "smaller").otherwise("similar")
     return g.withColumn("interpretation", size)
 
@@ -181,14 +210,12 @@ def domain_patterns(long: DataFrame, top: int = 5, min_rows: int = 3) -> DataFra
     return means.join(dom, "domain")
 
 
-def summary_quantiles(long: DataFrame, exact: bool = True, keep_all: list[str] = ()) -> DataFrame:
+def summary_quantiles(long: DataFrame, keep_all: list[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles, max per model and metric."""
     df = long.filter((F.col("value") > 0) | F.col("metric").isin(*keep_all)) if keep_all else positive(long)
-    qs = [0.25, 0.5, 0.75]
-    q = F.percentile("value", F.array(*[F.lit(x) for x in qs])) if exact else F.percentile_approx("value", qs, 10000)
-    agg = df.groupBy("model", "metric").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                                            F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return agg.select("model", "metric", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
+    agg = df.groupBy("model", "metric").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(df, ["model", "metric"], "value", [0.25, 0.5, 0.75])
+    return agg.join(q, ["model", "metric"], "left").select("model", "metric", "count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"), "max")
 
 
 box_stats = summary_quantiles
