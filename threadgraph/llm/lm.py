@@ -30,6 +30,8 @@ from threadgraph.llm.common import discard, stored, table
 
 CHUNK_TOKENS = 1_500_000
 ADD, DISCOUNT, MIN_COUNT = 0.1, 0.75, 3
+#: Size of the filter of kept pairs (8 MB); it only spares rows that the join would drop.
+FILTER_BITS = 1 << 26
 #: Names of the start state and of the end token; words have no blanks, so neither is a word.
 START, END = " start", " end"
 
@@ -195,7 +197,7 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     total = words.filter(F.col("word") != START).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
     kept = stored(pair_counts(cut, min_count), free=True)
-    found = chunk_pairs(cut, bloom.build(kept, "pair")).join(kept, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
+    found = chunk_pairs(cut, bloom.build(kept, "pair", FILTER_BITS)).join(kept, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
     with_arcs = stored(cut.drop("counts").join(found, "chunk", "left"), free=True)
     discard(cut, kept)
     full = stored(words.join(kept_mass(with_arcs), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
