@@ -197,13 +197,14 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     total = words.filter(F.col("word") != START).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
     kept = stored(pair_counts(cut, min_count), free=True)
-    found = chunk_pairs(cut, bloom.build(kept, "pair", FILTER_BITS)).join(kept, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
+    hits = stored(chunk_pairs(cut, bloom.build(kept, "pair", FILTER_BITS)).join(kept, "pair").select("chunk", "at", "n"), free=True)
+    found = hits.groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
     with_arcs = stored(cut.drop("counts").join(found, "chunk", "left"), free=True)
-    discard(cut, kept)
+    discard(cut, kept, hits)
     full = stored(words.join(kept_mass(with_arcs), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
     discard(words)
     own = with_arcs.select("chunk", F.posexplode("words").alias("at", "word"))
-    known = own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known"))
+    known = stored(own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known")), free=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     space = n_train + ADD * (v_train + 1)
 
