@@ -49,3 +49,31 @@ def test_empty_and_better_than_single_words(spark):
     rows = [(i, " ".join(rng.choice(["red apple pie", "green tea pot", "blue sky high"]) for _ in range(30))) for i in range(100)]
     got = L.score_texts(docs(spark, rows)).filter("held_out").collect()
     assert got and all(r["score"] > r["base_score"] / 2 for r in got)
+
+
+def brute_of_order(rows, order):
+    """All sequences kept, any order."""
+    tok = lambda t: [L.START] + [w.decode() for w in (t or "").encode().lower().split()] + [L.END]
+    train = [tok(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(tuple(t[j:j + k]) for t in train for k in range(1, order + 1) for j in range(len(t) - k + 1))
+    kinds = Counter(g[:-1] for g in c)
+    n, v = sum(x for g, x in c.items() if len(g) == 1 and g != (L.START,)), sum(len(g) == 1 for g in c) - ((L.START,) in c)
+
+    def p(h, w):
+        if not h:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        lower = p(h[1:], w)
+        return (max(c[h + (w,)] - L.DISCOUNT, 0) + L.DISCOUNT * kinds[h] * lower) / c[h] if c[h] else lower
+
+    return {i: sum(math.log10(p(tuple(t[max(0, j - order + 1):j]), t[j])) for j in range(1, len(t))) for i, t in ((i, tok(t)) for i, t in rows)}
+
+
+def test_all_sequences_of_the_query(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_TOKENS", 400)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "dog", f"x{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 30)))) for i in range(90)]
+    assert (L.MIN_COUNT, L.ORDER) == (1, 3)
+    for order in (3, 4):
+        want = brute_of_order(rows, order)
+        got = L.score_texts(docs(spark, rows), order=order).collect()
+        assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)

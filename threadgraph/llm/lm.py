@@ -1,16 +1,20 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the start of a text, every word, and the root; a word's state has explicit arcs
-for the word pairs kept in training and one failure arc to the root, whose arcs are the
-smoothed single words. With discount D, history h and word w
-
-    arc(h, w)   = (c(h w) - D) / c(h) + fail(h) * uni(w)     for kept pairs (c(h w) >= min_count)
-    fail(h)     = 1 - sum over kept pairs of (c(h w) - D) / c(h)
-    otherwise     fail(h) * uni(w)
-
-so every state is a distribution. Texts are cut into chunks with a list of their own distinct
-words. Counts are summed over chunks; each chunk then gets the part of the automaton its
-texts can reach and walks them from left to right, the state being the last word read.
+States are the root, the start of a text, every word and, up to ``order`` - 1 words, every
+sequence seen in training. A state has explicit arcs for the words that followed it in training
+and one failure arc to the state without its first word, at last to the root, whose arcs are
+the smoothed single words. With discount D, history h, h' without its first word, and word w
+
+    p(w | h)    = (c(h w) - D) / c(h) + fail(h) * p(w | h')     for kept arcs (c(h w) >= min_count)
+    fail(h)     = 1 - sum over kept arcs of (c(h w) - D) / c(h)
+    otherwise     fail(h) * p(w | h')
+
+so every state is a distribution; a history never seen fails with weight one. Texts are cut into
+chunks with a list of their own distinct words. The distinct sequences of a chunk go by hash to
+buckets, which add up the counts of all chunks and answer each block of hashes with a block of
+totals. Longest sequences go first: their totals give each chunk its part of the kept mass of
+their histories, which is added up when the histories are counted. Each chunk then walks its
+texts from left to right, the state being the last ``order`` - 1 words read.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,9 @@ from threadgraph.llm import bloom, query
 from threadgraph.llm.common import discard, stored, table
 
 CHUNK_TOKENS = 1_500_000
-ADD, DISCOUNT, MIN_COUNT = 0.1, 0.75, 3
-#: Size of the filter of kept pairs (8 MB); it only spares rows that the join would drop.
-FILTER_BITS = 1 << 26
+ADD, DISCOUNT, MIN_COUNT, ORDER = 0.1, 0.75, 1, 3
+#: Parts into which the sequences of a length are dealt by hash; each is added up in memory.
+BUCKETS = 1024
 #: Names of the start state and of the end token; words have no blanks, so neither is a word.
 START, END = " start", " end"
 
@@ -41,13 +46,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def pack(codes: np.ndarray) -> bytes:
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    return zlib.compress(planes.tobytes(), 1)
+def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
+    values = values.astype(kind)
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return planes.T.copy().view(kind).ravel()
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -97,97 +103,127 @@ def _sparse(c: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _pairs(codes: np.ndarray, sizes: np.ndarray, flags: np.ndarray, n_words: int, training: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of neighbours (as first * n_words + second), their counts in training texts, and each pair's place by position."""
-    first_of = np.zeros(len(codes), bool)
-    first_of[np.cumsum(sizes) - sizes] = True
-    inside = ~first_of[1:]
-    pair = (codes[:-1].astype(np.int64) * n_words + codes[1:])[inside]
-    if training:
-        pair = pair[~np.repeat(flags, sizes)[1:][inside]]
-        values, counts = np.unique(pair, return_counts=True)
-        return values, counts, pair
-    values, at = np.unique(pair, return_inverse=True)
-    return values, at, pair
+class _Level(NamedTuple):
+    """Distinct sequences of one length in a chunk: history (number among those one shorter) and last word, number without
+    the first word, hash, count in training texts; ``place`` is the number of the sequence that ends at a position, or -1."""
 
+    hist: np.ndarray
+    last: np.ndarray
+    suffix: np.ndarray
+    key: np.ndarray
+    own: np.ndarray
+    place: np.ndarray
 
-def _read(b: pa.RecordBatch, r: int):
-    words = b.column("words")[r].values
-    return words, unpack(b.column("codes")[r].as_py()), np.array(b.column("sizes")[r].as_py(), np.int64), np.array(b.column("flags")[r].as_py(), bool)
 
+def _levels(codes: np.ndarray, sizes: np.ndarray, flags: np.ndarray, keys: np.ndarray, order: int) -> dict[int, _Level]:
+    """Sequences of 2 to ``order`` words inside texts, by length."""
+    n = len(keys)
+    offset = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    training = ~np.repeat(flags, sizes)
+    place, key, out = codes.astype(np.int64), keys, {}
+    for k in range(2, order + 1):
+        at = np.flatnonzero(offset >= k - 1)
+        values, where = np.unique(place[at - 1] * n + codes[at], return_inverse=True)
+        hist, last = values // n, values % n
+        suffix = np.empty(len(values), np.int64)
+        suffix[where] = place[at]
+        own = np.bincount(where, training[at], len(values)).astype(np.int64)
+        key = bloom.mix(key[hist] * np.uint64(0x9E3779B97F4A7C15) + keys[last])
+        place = np.full(len(codes), -1, np.int64)
+        place[at] = where
+        out[k] = _Level(hist, last, suffix, key, own, place)
+    return out
 
-def _keys(words: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
+def _dealt(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences in the order of their buckets, and where each bucket begins."""
+    bucket = (key % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
 
-def _pair_keys(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    n = len(keys)
-    return bloom.mix(keys[values // n] * np.uint64(0x9E3779B97F4A7C15) + keys[values % n])
 
+def _answers(b: pa.RecordBatch, r: int, column: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a chunk's sequences over all chunks: count in training, kept mass as a history."""
+    n, mass = np.zeros(len(key), np.int64), np.zeros(len(key))
+    got = b.column(column)[r].values
+    if got is not None and len(got):
+        order, cuts = _dealt(key)
+        for bucket, x, y in zip(got.field("bucket").to_pylist(), got.field("n").to_pylist(), got.field("mass").to_pylist()):
+            here = order[cuts[bucket]:cuts[bucket + 1]]
+            n[here] = unpack(x, "<i8")
+            mass[here] = unpack(y, "<f8")
+    return n, mass
 
-def pair_counts(cut: DataFrame, min_count: int) -> DataFrame:
-    """``pair, n``: word pairs (by hash) of all training texts seen at least ``min_count`` times."""
-    def count(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                words, codes, sizes, flags = _read(b, r)
-                values, counts, _ = _pairs(codes, sizes, flags, len(words), True)
-                yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(values, _keys(words)).view(np.int64)), pa.array(counts)], ["pair", "n"])
 
-    rows = cut.select("codes", "sizes", "flags", "words").mapInArrow(count, "pair bigint, n bigint")
-    return rows.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+def _history_mass(level: _Level, n: np.ndarray, min_count: int, size: int) -> np.ndarray:
+    """Kept mass of histories as far as this chunk's texts make it: an arc's (c - D) is shared out over its c occurrences."""
+    kept = (n >= min_count) & (level.own > 0)
+    return np.bincount(level.hist[kept], level.own[kept] * (1 - DISCOUNT / n[kept]), size)
 
 
-def chunk_pairs(cut: DataFrame, held) -> DataFrame:
-    """``chunk, at, pair``: the chunk's distinct pairs that the filter of kept pairs lets through."""
+def _read(b: pa.RecordBatch, r: int):
+    words = b.column("words")[r].values
+    return words, unpack(b.column("codes")[r].as_py()), np.array(b.column("sizes")[r].as_py(), np.int64), np.array(b.column("flags")[r].as_py(), bool)
+
+
+def _keys(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def totals(cut: DataFrame, k: int, order: int, min_count: int) -> DataFrame:
+    """``chunk, gK``: for each chunk the totals of its sequences of ``k`` words, bucket by bucket. ``cut`` has those of ``k`` + 1 below ``order``."""
     def emit(batches):
         for b in batches:
             for r in range(b.num_rows):
                 words, codes, sizes, flags = _read(b, r)
-                values, _, _ = _pairs(codes, sizes, flags, len(words), False)
-                keys = _pair_keys(values, _keys(words))
-                at = np.flatnonzero(bloom.may_hold(held.value, keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b.column("chunk")[r].as_py())), pa.array(at.astype(np.int32)), pa.array(keys[at].view(np.int64))], ["chunk", "at", "pair"])
+                levels = _levels(codes, sizes, flags, _keys(words), min(k + 1, order))
+                level = levels[k]
+                mass = np.zeros(len(level.key))
+                if k < order:
+                    longer = levels[k + 1]
+                    mass = _history_mass(longer, _answers(b, r, f"g{k + 1}", longer.key)[0], min_count, len(level.key))
+                by, cuts = _dealt(level.key)
+                some = np.flatnonzero(np.diff(cuts))
+                part = [by[cuts[x]:cuts[x + 1]] for x in some]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(some), b.column("chunk")[r].as_py(), np.int64)), pa.array(some.astype(np.int32)), pa.array([level.key[x].tobytes() for x in part], pa.binary()),
+                    pa.array([pack(level.own[x]) for x in part], pa.binary()), pa.array([pack(mass[x], "<f8") for x in part], pa.binary())], ["chunk", "bucket", "keys", "n", "mass"])
 
-    return cut.select("chunk", "codes", "sizes", "flags", "words").mapInArrow(emit, "chunk bigint, at int, pair bigint")
+    def add(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate([unpack(x) for x in t.column("n").to_pylist()]))[at]
+        mass = np.bincount(at, np.concatenate([unpack(x, "<f8") for x in t.column("mass").to_pylist()]))[at]
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        return pa.table([t.column("chunk"), t.column("bucket"), pa.array([pack(x, "<i8") for x in np.split(n, ends)], pa.binary()), pa.array([pack(x, "<f8") for x in np.split(mass, ends)], pa.binary())],
+                        ["chunk", "bucket", "n", "mass"])
 
+    blocks = cut.mapInArrow(emit, "chunk bigint, bucket int, keys binary, n binary, mass binary")
+    out = stored(blocks.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n binary, mass binary"), free=True)
+    return out.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "mass")).alias(f"g{k}"))
 
-def kept_mass(cut: DataFrame) -> DataFrame:
-    """``word, mass``: discounted counts of a word's kept arcs, summed over training texts chunk by chunk."""
+
+def word_mass(cut: DataFrame, min_count: int) -> DataFrame:
+    """``word, mass``: kept mass of the states of one word; ``cut`` has ``g2``."""
     def weigh(batches):
         for b in batches:
             for r in range(b.num_rows):
                 words, codes, sizes, flags = _read(b, r)
-                values, _, _ = _pairs(codes, sizes, flags, len(words), False)
-                own, counts, _ = _pairs(codes, sizes, flags, len(words), True)
-                at, total = _arcs(b, r)
-                where = np.searchsorted(own, values[at])
-                where_ok = np.minimum(where, max(len(own) - 1, 0))
-                seen = (own[where_ok] == values[at]) if len(own) else np.zeros(len(at), bool)
-                mine = np.where(seen, counts[where_ok] if len(own) else 0, 0)
-                # an arc's (c - D) is shared out over its c occurrences
-                mass = np.bincount(values[at] // len(words), mine * (1 - DISCOUNT / total), len(words))
+                level = _levels(codes, sizes, flags, _keys(words), 2)[2]
+                mass = _history_mass(level, _answers(b, r, "g2", level.key)[0], min_count, len(words))
                 some = np.flatnonzero(mass > 0)
                 yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(mass[some])], ["word", "mass"])
 
     return cut.mapInArrow(weigh, "word string, mass double").groupBy("word").agg(F.sum("mass").alias("mass"))
 
 
-def _arcs(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
-    arcs = b.column("arcs")[r].values
-    if arcs is None or not len(arcs):
-        return np.empty(0, np.int64), np.empty(0, np.float64)
-    at, n = arcs.field("at").to_numpy(zero_copy_only=False).astype(np.int64), arcs.field("n").to_numpy(zero_copy_only=False).astype(np.float64)
-    order = np.argsort(at)
-    return at[order], n[order]
-
-
-def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, order: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
 
     Training texts are those not held out; counts cover all of them. ``base_score`` sums the
     smoothed single words, ``score`` is the automaton's log10 probability of the text and its
     end. A null or empty text is its end alone; repeated rows count as often as they occur.
+    States hold up to ``order`` - 1 words (``order`` is 2 or more).
     """
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     cut = stored(chunks(docs))
@@ -196,14 +232,13 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     # the start is a state, not a token
     total = words.filter(F.col("word") != START).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
-    kept = stored(pair_counts(cut, min_count), free=True)
-    hits = stored(chunk_pairs(cut, bloom.build(kept, "pair", FILTER_BITS)).join(kept, "pair").select("chunk", "at", "n"), free=True)
-    found = hits.groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("arcs"))
-    with_arcs = stored(cut.drop("counts").join(found, "chunk", "left"), free=True)
-    discard(cut, kept, hits)
-    full = stored(words.join(kept_mass(with_arcs), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
+    bare = cut.drop("counts", "doc_ids")
+    found = {}
+    for k in range(order, 1, -1):
+        found[k] = totals(bare.join(found[k + 1], "chunk", "left") if k < order else bare, k, order, min_count)
+    full = stored(words.join(word_mass(bare.join(found[2], "chunk", "left"), min_count), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
     discard(words)
-    own = with_arcs.select("chunk", F.posexplode("words").alias("at", "word"))
+    own = cut.select("chunk", F.posexplode("words").alias("at", "word"))
     known = stored(own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known")), free=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     space = n_train + ADD * (v_train + 1)
@@ -220,12 +255,15 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                     mass[at] = got.field("mass").to_numpy(zero_copy_only=False)
                 uni = (c + ADD) / space
                 fail = 1 - np.divide(mass, c, out=np.zeros(len(words)), where=c > 0)
-                values, place, _ = _pairs(codes, sizes, flags, len(words), False)
-                at, total = _arcs(b, r)
-                arc = np.zeros(len(values))
-                arc[at] = (total - DISCOUNT) / c[values[at] // len(words)]
-                # the state before a token is the token before it: its arc where there is one, and its failure to the root
-                step = np.log10(arc + fail[values // len(words)] * uni[values % len(words)])[place]
+                # the state before a token is the words before it: its arc where there is one, and its failure to the shorter state
+                p, times, step = uni, c, np.zeros(len(codes))
+                for k, level in _levels(codes, sizes, flags, _keys(words), order).items():
+                    n, longer_mass = _answers(b, r, f"g{k}", level.key)
+                    arc = np.divide(n - DISCOUNT, times[level.hist], out=np.zeros(len(n)), where=n >= min_count)
+                    p = arc + fail[level.hist] * p[level.suffix]
+                    times, fail = n, 1 - np.divide(longer_mass, n, out=np.zeros(len(n)), where=n > 0)
+                    some = level.place >= 0
+                    step[some] = np.log10(p)[level.place[some]]
                 begin = np.cumsum(sizes) - sizes
                 tokens = np.ones(len(codes), bool)
                 tokens[begin] = False
@@ -234,13 +272,16 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                 per_text = lambda x: np.add.reduceat(x, starts) if len(x) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([
                     b.column("doc_ids")[r].values, pa.array(flags), pa.array(sizes - 1), pa.array(per_text((c[second] > 0).astype(np.int64)), pa.int64()),
-                    pa.array(per_text(np.log10(uni)[second])), pa.array(per_text(step))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    pa.array(per_text(np.log10(uni)[second])), pa.array(per_text(step[tokens]))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = with_arcs.join(known, "chunk", "left").mapInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    ready = cut.drop("counts").join(known, "chunk", "left")
+    for k in found:
+        ready = ready.join(found[k], "chunk", "left")
+    out = ready.mapInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 
 @query("op10_backoff_scores")
 def lm_q(spark, sf_dir):
-    out = score_texts(table(spark, sf_dir, "documents"))
+    out = score_texts(table(spark, sf_dir, "documents"), order=ORDER)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
