@@ -29,11 +29,12 @@ _BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), None),  # runs are taken whole, so the length can stand in the pattern
 )
 _WORDS = ("pass", "secret", "token", "api")
-_FIELD = r"""(?<![A-Za-z0-9_-])(?ai:%s)["']?\x20*[:=]\x20*["']?(%s)"""
+#: The keyword begins a part of the name, so parts may stand before it (DB_PASS, AWS_SECRET_ACCESS_KEY); values are taken whole.
+_FIELD = r"""(?<![A-Za-z0-9])(?ai:%s)["']?\x20*[:=]\x20*["']?(%s)"""
 _WEAK = (
-    ("identifier", re.compile(_FIELD % ("user|username|login|account|client_?id|access_?id", r"[A-Za-z0-9_.@-]{3,64}"))),
-    ("secret", re.compile(_FIELD % ("pwd|pass|key|private|credential|auth|signature", r"[A-Za-z0-9+/_=-]{8,128}"))),
-    ("endpoint", re.compile(r"(?ai:https?|jdbc|postgres|mysql|redis|mongodb|amqp|s?ftp)://([A-Za-z0-9_.-]{3,128})|" + _FIELD % ("host|endpoint|server", r"[A-Za-z0-9_.-]{3,128}"))),
+    ("identifier", re.compile(_FIELD % ("user|username|login|account|client_?id|access_?id|access_?key_?id", r"[A-Za-z0-9_.@-]{3,}"))),
+    ("secret", re.compile(_FIELD % ("pwd|pass|key|private|credential|auth|signature", r"[A-Za-z0-9+/_=-]{8,}"))),
+    ("endpoint", re.compile(r"(?ai:https?|jdbc|postgres|mysql|redis|mongodb|amqp|s?ftp)://([A-Za-z0-9_.-]{3,})|" + _FIELD % ("host|endpoint|server", r"[A-Za-z0-9_.-]{3,}"))),
 )
 
 
