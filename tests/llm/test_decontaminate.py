@@ -45,3 +45,12 @@ def test_like_brute_force(spark):
                 want.add((d, i))
     got = {(d, i) for d, i, _ in leaks(spark, [(d, " ".join(w)) for d, w in texts], [(i, " ".join(w)) for i, w in items])}
     assert got == want and want
+
+
+def test_many_numbers(spark):
+    sand = "Add 12 kg, 15 kg and 40 kg of sand"
+    fruit = "If there are 3 apples in the red basket and then someone adds another 4 pears to it"
+    sort = "Please sort the numbers 5 1 9 7 3 8 2 6 4 0 in ascending order now"
+    texts = [(1, "so add 13 kg, 17 kg and 60 kg of sand"), (2, fruit.replace("3", "5").replace("4", "5")), (3, sort.replace("5 1 9 7 3 8 2 6 4 0", "6 2 8 5 4 9 3 1 7 0")), (5, " ".join(map(str, range(300))))]
+    got = {(d, i) for d, i, _ in leaks(spark, texts, [(1, sand), (2, fruit), (3, sort)])}
+    assert got == {(1, 1), (2, 2), (3, 3)}

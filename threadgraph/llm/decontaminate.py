@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other values keeps
 its template. Windows of template tokens are hash-joined between documents and benchmark
-items. The values that fill the slots of the aligned windows must map the item's values to
-the document's one to one; otherwise the resemblance is chance and is dropped. Windows of the
+items. In an alignment each value of the item must have one value in the document, and a few
+words must be plain; otherwise the resemblance is chance. Windows of the
 plain lower-case words are joined as well, so a copy that lost its capitals is found too.
 """
 
@@ -24,6 +24,8 @@ from threadgraph.llm.common import documents, stored, table
 WINDOW = 8
 #: An alignment counts from this many template tokens on (or the whole of a shorter item).
 MIN_TOKENS = 13
+#: Plain words that an alignment holds at least, or half of the tokens it needs where that is less.
+MIN_PLAIN = 4
 
 UNITS = frozenset("""mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years
 meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres
@@ -127,23 +129,31 @@ def both_windows(tokens, width: int, item: bool) -> list[tuple[int, np.ndarray,
     A document without slots has one form, as its template is its plain words; an item has both.
     """
     template, kind, _, plain = tokens
-    out = [(0, *windows(plain, np.zeros(len(plain), np.int8), width, 0))]
+    out = [(0, *windows(plain, width, 0))]
     if item or (kind != _WORD).any():
-        out.append((1, *windows(template, kind, width, 1)))
+        out.append((1, *windows(template, width, 1)))
     return out
 
 
-def windows(template: np.ndarray, kind: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of windows of which at least half are plain words."""
+def windows(template: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all windows."""
     n = len(template) - width + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = h * np.uint64(0x100000001B3) + bloom.mix(template[k:k + n] + np.uint64(k + 1))
+    return np.arange(n), bloom.mix(h + np.uint64(2 * width + form))
+
+
+def _beside_words(ok: np.ndarray, kind: np.ndarray, width: int) -> np.ndarray:
+    """``ok`` without runs of windows of slots alone: an alignment that counts has plain words, so its windows join others that have."""
+    if not ok.any():
+        return ok
     plain = np.concatenate([[0], np.cumsum(kind == _WORD)])
-    at = np.flatnonzero(2 * (plain[width:] - plain[:-width]) >= width)
-    return at, bloom.mix(h[at] + np.uint64(2 * width + form))
+    worded = ok & (plain[width:] > plain[:-width])
+    run = np.cumsum(~ok)
+    return ok & (np.bincount(run, worded)[run] > 0)
 
 
 _SLOTS = pa.list_(pa.int64())
@@ -154,8 +164,12 @@ def _slots(kind, value, at, width):
     return [int(x) for x in value[inside].view(np.int64)]
 
 
+def _words(kind, at, width):
+    return [int(x) for x in np.flatnonzero(kind[at:at + width] == _WORD) + at]
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """All windows of the benchmark: ``item_id, form, width, at, n, h, slots``; an item shorter than a window is one window of its own width."""
+    """All windows of the benchmark: ``item_id, form, width, at, n, h, slots, words`` (places of the plain words); an item shorter than a window is one window of its own width."""
     kind_id = items.schema["item_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +182,12 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                     width = min(window, n)
                     if width:
                         _, at, h = both_windows(got, width, True)[form]
-                        out += [(i, form, width, int(a), n, int(x), _slots(got[1], got[2], a, width) if form else []) for a, x in zip(at, h.view(np.int64))]
-            cols = list(zip(*out)) if out else [[]] * 7
-            types = [b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOTS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["item_id", "form", "width", "at", "n", "h", "slots"])
+                        out += [(i, form, width, int(a), n, int(x), _slots(got[1], got[2], a, width) if form else [], _words(got[1], a, width) if form else list(range(a, a + width))) for a, x in zip(at, h.view(np.int64))]
+            cols = list(zip(*out)) if out else [[]] * 8
+            types = [b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOTS, pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["item_id", "form", "width", "at", "n", "h", "slots", "words"])
 
-    return items.select("item_id", "text").mapInArrow(cut, f"item_id {kind_id}, form int, width int, at int, n int, h bigint, slots array<bigint>")
+    return items.select("item_id", "text").mapInArrow(cut, f"item_id {kind_id}, form int, width int, at int, n int, h bigint, slots array<bigint>, words array<int>")
 
 
 def document_windows(docs: DataFrame, held, widths: list[int]) -> DataFrame:
@@ -190,6 +204,8 @@ def document_windows(docs: DataFrame, held, widths: list[int]) -> DataFrame:
                 for width in widths:
                     for form, at, h in both_windows(got, width, False):
                         ok = bloom.may_hold(held.value, h)
+                        if form:
+                            ok = _beside_words(ok, got[1], width)
                         if ok.any():
                             out += [(ids[r], fps[r], form, width, int(a), int(x), _slots(got[1], got[2], a, width) if form else []) for a, x in zip(at[ok], h[ok].view(np.int64))]
             cols = list(zip(*out)) if out else [[]] * 7
@@ -203,8 +219,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_toke
     """Contaminated documents: ``doc_id, fp, item_id, n_windows, coverage, verbatim``, one row per document and item.
 
     Windows that match with one shift between document and item form an alignment. It counts
-    when its slots are consistent and it spans ``min_tokens`` template tokens, or the whole
-    item where that is shorter. ``verbatim``: all slot values are equal. Null and empty texts
+    when its slots are consistent (one value in the document for each of the item) and it spans
+    ``min_tokens`` template tokens, or the whole item where that is shorter, with ``MIN_PLAIN``
+    plain words, or half of those tokens. ``verbatim``: all slot values are equal. Null and empty texts
     match nothing; rows with equal id and text give one row per item; no window of any text is left out.
     ``n_windows`` and ``coverage`` are those of the best alignment.
     """
@@ -212,18 +229,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_toke
     widths = sorted(r["width"] for r in known.select("width").distinct().collect())
     held = bloom.build(known, "h")
     found = stored(document_windows(documents(docs), held, widths))
-    k = known.select("item_id", F.col("at").alias("item_at"), "n", "form", "width", "h", F.col("slots").alias("item_slots"))
+    k = known.select("item_id", F.col("at").alias("item_at"), "n", "form", "width", "h", F.col("slots").alias("item_slots"), "words")
     hits = found.join(k, ["form", "width", "h"])
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    hits = hits.select("doc_id", "fp", "item_id", "n", "form", "width", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
-    lines = hits.groupBy("doc_id", "fp", "item_id", "form", "shift", "n", "width").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    n = F.size("pairs")
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.a"))) == n) & (F.size(F.array_distinct(F.col("pairs.b"))) == n)
-    spans = (F.col("n_windows") + F.col("width") - 1 >= F.least(F.lit(min_tokens), F.col("n")))
+    hits = hits.select("doc_id", "fp", "item_id", "n", "form", "width", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", pairs.alias("pairs"))
+    # an alignment counts by all its windows, or by those of which half are plain words
+    rich = 2 * F.size("words") >= F.col("width")
+    union = lambda c, of: F.array_distinct(F.flatten(F.collect_set(F.when(of, F.col(c)))))
+    lines = hits.groupBy("doc_id", "fp", "item_id", "form", "shift", "n", "width").agg(*[c for name, of in (("all", F.lit(True)), ("rich", rich)) for c in (
+        F.countDistinct(F.when(of, F.col("item_at"))).alias(f"{name}_windows"), union("pairs", of).alias(f"{name}_pairs"), union("words", of).alias(f"{name}_words"))])
+    need = F.least(F.lit(min_tokens), F.col("n"))
+    case = lambda name: F.struct(F.col(f"{name}_windows").alias("n_windows"), F.col(f"{name}_pairs").alias("pairs"), F.col(f"{name}_words").alias("words"))
+    lines = lines.select("doc_id", "fp", "item_id", "n", "width", F.explode(F.array(case("all"), case("rich"))).alias("x")).select("doc_id", "fp", "item_id", "n", "width", "x.*")
+    function = F.size(F.array_distinct(F.col("pairs.a"))) == F.size("pairs")
+    spans = F.col("n_windows") + F.col("width") - 1 >= need
+    worded = F.size("words") >= F.least(F.lit(MIN_PLAIN), F.ceil(need / 2))
     same = ~F.exists("pairs", lambda p: p["a"] != p["b"])
-    good = lines.filter(one_to_one & spans)
+    good = lines.filter(function & spans & worded)
     return good.groupBy("doc_id", "fp", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max((F.col("n_windows") + F.col("width") - 1) / F.col("n")).alias("coverage"), F.max(same).alias("verbatim"))
 
 
