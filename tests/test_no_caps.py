@@ -57,3 +57,14 @@ def test_quantiles_are_exact(spark):
     df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("a", None)], "k string, v double")
     for r in ev.exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
         assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(data[r["k"]], [0.0, 0.25, 0.5, 0.9, 1.0]))
+
+
+def test_communities_are_finished(spark):
+    n = 120
+    ring = spark.createDataFrame([("g", f"{i:03d}", f"{(i + 1) % n:03d}", 1.0) for i in range(n)], "graph_id string, a string, b string, weight double")
+    comm = {r["id"]: r["comm"] for r in cm.modularity_partition(ring).collect()}
+    size = {c: list(comm.values()).count(c) for c in comm.values()}
+    assert len(comm) == n
+    for i in range(n):  # no two neighbouring communities would gain by a merge
+        a, b = comm[f"{i:03d}"], comm[f"{(i + 1) % n:03d}"]
+        assert a == b or size[a] * size[b] >= n / 2
