@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline as C
 from pyspark.sql import types as T
@@ -40,6 +41,16 @@ def test_stages(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_quality_stage_with_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [" ".join(["the", "of", "and"][k % 3] if k % 4 == 0 else f"w{rng.randint(0, 10**6)}" for k in range(20_000)) for _ in range(3)]
+    docs = spark.createDataFrame([(1, long[0], "en"), (2, long[1], "en"), (3, "over and out " * 7000, "en"), (4, long[2], None)], "doc_id long, text string, lang string")
+    start = time.time()
+    kept = C.keep_quality(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == {1, 2, 4} and all(r["text"] == long[{1: 0, 2: 1, 4: 2}[r["doc_id"]]] for r in kept)
+    assert time.time() - start < 60
+
+
 def brute_quality(text):
     import re
     t = text or ""
