@@ -199,7 +199,7 @@ def totals(cut: DataFrame, k: int, order: int, min_count: int) -> DataFrame:
                         ["chunk", "bucket", "n", "mass"])
 
     blocks = cut.mapInArrow(emit, "chunk bigint, bucket int, keys binary, n binary, mass binary")
-    out = stored(blocks.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n binary, mass binary"), free=True)
+    out = stored(blocks.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n binary, mass binary"))
     return out.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "mass")).alias(f"g{k}"))
 
 
@@ -228,7 +228,7 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, order: int = 2) ->
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     cut = stored(chunks(docs))
     listed = cut.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("chunk", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = stored(listed.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), free=True)
+    words = stored(listed.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
     # the start is a state, not a token
     total = words.filter(F.col("word") != START).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
@@ -236,10 +236,10 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, order: int = 2) ->
     found = {}
     for k in range(order, 1, -1):
         found[k] = totals(bare.join(found[k + 1], "chunk", "left") if k < order else bare, k, order, min_count)
-    full = stored(words.join(word_mass(bare.join(found[2], "chunk", "left"), min_count), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")), free=True)
+    full = stored(words.join(word_mass(bare.join(found[2], "chunk", "left"), min_count), "word", "left").select("word", "c", F.coalesce("mass", F.lit(0.0)).alias("mass")))
     discard(words)
     own = cut.select("chunk", F.posexplode("words").alias("at", "word"))
-    known = stored(own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known")), free=True)
+    known = stored(own.join(full, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "mass")).alias("known")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     space = n_train + ADD * (v_train + 1)
 
