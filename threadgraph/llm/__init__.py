@@ -17,5 +17,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from threadgraph.llm import (  # noqa: F401
-        bpe, chat, decontaminate, jaccard, kdtree, lm, pii, quality, secrets, trie, urls, warc,
+        bpe, chat, decontaminate, jaccard, kdtree, lm, pii, quality, secrets, taat, trie, urls, warc,
     )
