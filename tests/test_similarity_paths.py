@@ -27,7 +27,9 @@ def test_pruned_join_is_exact(vecs, t, monkeypatch):
     assert got == want
 
 
-def test_topk_and_max(vecs):
+@pytest.mark.parametrize("rows", [17, 4096])
+def test_topk_and_max(vecs, rows, monkeypatch):
+    monkeypatch.setattr(sm, "BLOCK_ROWS", rows)
     df, s = vecs
     rows = sm.similar_pairs(df, df, None, 3).collect()
     assert len(rows) == 3 * len(s)
@@ -42,6 +44,32 @@ def test_topk_and_max(vecs):
     assert all(abs(got[f"v{i:03d}"] - s[:10, i].max()) < 1e-9 for i in range(len(s)))
 
 
+def test_topk_with_threshold_and_graphs_of_different_size(spark, monkeypatch):
+    monkeypatch.setattr(sm, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(8)
+    data = {(g, f"{i:03d}"): rng.normal(size=4).round(1) for g, n in (("a", 150), ("b", 3), ("c", 40)) for i in range(n)}
+    df = spark.createDataFrame([(g, i, [float(x) for x in v]) for (g, i), v in data.items()], "graph_id string, id string, vec array<double>")
+    got = {}
+    for r in sm.similar_pairs(df, df, 0.8, 4, keep_self=True).collect():
+        got.setdefault((r["graph_id"], r["left_id"]), []).append((-r["similarity"], r["right_id"]))
+    unit = {k: v / np.linalg.norm(v) for k, v in data.items()}
+    for (g, i), v in unit.items():
+        want = sorted((-round(float(v @ w), 9), j) for (h, j), w in unit.items() if h == g)
+        assert sorted(got[g, i]) == [x for x in want if x[0] <= -0.8][:4]
+
+
+def test_bounds_leave_far_cells_out(spark, monkeypatch):
+    """Without a threshold, rows of separate clusters visit their own cells only."""
+    monkeypatch.setattr(sm, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(1)
+    m = np.vstack([c + 0.01 * rng.normal(size=(150, 12)) for c in 5 * np.eye(12)])
+    df = spark.createDataFrame([("g", f"{i:04d}", [float(x) for x in r]) for i, r in enumerate(m)], "graph_id string, id string, vec array<double>")
+    pairs, joined = [], sm._joined_cells
+    monkeypatch.setattr(sm, "_joined_cells", lambda left, *a: pairs.append(left.count()) or joined(left, *a))
+    assert sm.similar_pairs(df, df, None, 3).count() == 3 * len(m)
+    assert pairs[0] == len(m) and pairs[1] < 4 * len(m)  # of 18 cells
+
+
 def test_propagate_unit_norm(vecs, spark):
     df, _ = vecs
     links = df.filter("id < 'v200'").select("graph_id", F.col("id").alias("source"), F.lit("v000").alias("target"))

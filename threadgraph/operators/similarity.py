@@ -22,8 +22,8 @@ from threadgraph.operators.common import first_by, top_k
 from threadgraph.operators.graph import simple_edges
 from threadgraph.session import materialize
 
-PIVOTS = 16
-BLOCK_ROWS = 4096
+#: Rows of a block on either side, most leaves of a pivot tree (their vectors go to every task), rows sampled for a leaf, room for rounding in angles.
+BLOCK_ROWS, MAX_LEAVES, SAMPLE, SLACK = 4096, 4096, 4, 1e-6
 
 
 def _unit_rows(vecs: pd.Series) -> np.ndarray:
@@ -34,58 +34,91 @@ def _unit_rows(vecs: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _pivot_angles(pivots: np.ndarray):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def angles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vecs in parts:
-            if len(vecs) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            yield pd.Series(list(np.arccos(np.clip(_unit_rows(vecs) @ pivots.T, -1.0, 1.0))))
-    return angles
+def _spread(m: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of a sample, each the one farthest from those before it; fewer if the others repeat them."""
+    picked, near = [0], m @ m[0]
+    while len(picked) < min(n, len(m)):
+        nxt = int(np.argmin(near))
+        if near[nxt] > 1 - 1e-12:
+            break
+        picked.append(nxt)
+        near = np.maximum(near, m @ m[nxt])
+    return m[picked]
 
 
-def _blocks(left: DataFrame, right: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame] | None:
-    """Cut both sides into blocks that together cover every pair that can reach the threshold.
+class PivotTree:
+    """Two levels of pivots over the right side of a similarity join.
 
-    Right rows belong to the cell of their nearest pivot. By the triangle inequality on
-    angles a left row at angle b to the pivot can only reach rows at angles within
-    acos(threshold) of b, so it visits just the cells whose angle range overlaps. Cells larger
-    than a block, on either side, are split by hash, so no block grows with a hot cell.
+    About sqrt(n) leaves, each with the range of angles of its rows to its pivot, hang under
+    n / ``BLOCK_ROWS`` cells. Pivots are rows of a bounded sample, each as far as can be from
+    those before; they decide speed, not results. Rows are joined cell by cell, leaves decide which cells a row must
+    visit: by the triangle inequality on angles a row at angle b to a leaf's pivot has no
+    row there nearer than max(b - hi, lo - b). A visit copies a row once per cell, never
+    once per leaf, so rows that cannot be excluded anywhere cost n / ``BLOCK_ROWS`` copies.
     """
-    sample = right.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()
-    if not sample:
-        return None
-    pivots = _unit_rows(pd.Series([r["vec"] for r in sample]))
-    angles = _pivot_angles(pivots)
-    r = right.withColumn("_a", angles("vec")).withColumn("_near", F.array_min("_a"))
-    r = r.withColumn("cell", F.array_position("_a", F.col("_near")).cast("int")).drop("_a")
-    cells = r.groupBy("graph_id", "cell").agg(F.min("_near").alias("lo"), F.max("_near").alias("hi"), F.count(F.lit(1)).alias("nr"))
-    reach = math.pi if threshold is None else math.acos(max(-1.0, min(1.0, threshold)))
-    l = left.select("*", F.posexplode(angles("vec")).alias("_p", "_b")).withColumn("cell", F.col("_p") + 1)
-    l = l.join(cells, ["graph_id", "cell"]).filter((F.col("_b") - reach <= F.col("hi") + 1e-6) & (F.col("_b") + reach >= F.col("lo") - 1e-6))
-    nl = l.groupBy("graph_id", "cell").agg(F.count(F.lit(1)).alias("nl"))
-    chunks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
-    l = l.join(nl, ["graph_id", "cell"])
-    r = r.join(cells.select("graph_id", "cell", "nr"), ["graph_id", "cell"]).join(nl, ["graph_id", "cell"])
-    mine = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
-    keys = ["graph_id", "cell", "lc", "rc"]
-    lb = l.withColumn("lc", mine("nl")).withColumn("rc", every("nr")).select(*keys, "id", "vec")
-    rb = r.withColumn("rc", mine("nr")).withColumn("lc", every("nl")).select(*keys, "id", "vec")
-    # fresh column identities: both sides may stem from one table
-    return lb.select(*[F.col(c).alias(c) for c in lb.columns]), rb.select(*[F.col(c).alias(c) for c in rb.columns])
 
+    def __init__(self, pivots: np.ndarray, n_cells: int):
+        self.pivots, self.n_cells = pivots, n_cells
+        self.cell_of = np.argmax(np.round(pivots @ pivots[:n_cells].T, 12), axis=1)
+        self.lo, self.hi = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+
+    @classmethod
+    def fit(cls, right: DataFrame) -> tuple[PivotTree | None, DataFrame]:
+        """The tree, and ``right`` with its ``cell``. None where the right side is empty. Runs Spark jobs."""
+        n = right.groupBy("graph_id").count().agg(F.max("count")).first()[0]
+        if not n:
+            return None, right
+        cells = -(-n // BLOCK_ROWS)
+        leaves = min(MAX_LEAVES, max(cells, math.isqrt(n))) if cells > 1 else 1
+        sample = right.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * leaves).select("vec").collect()
+        pivots = _spread(_unit_rows(pd.Series([r["vec"] for r in sample])), leaves)
+        tree = cls(pivots, min(cells, len(pivots)))
+        if tree.n_cells == 1:
+            return tree, right.withColumn("cell", F.lit(0))
+        placed = right.withColumn("_at", tree.leaf()("vec")).withColumn("cell", F.col("_at.cell"))
+        placed = materialize(placed)
+        for r in placed.groupBy("_at.leaf").agg(F.min("_at.angle").alias("lo"), F.max("_at.angle").alias("hi")).collect():
+            tree.lo[r["leaf"]], tree.hi[r["leaf"]] = r["lo"], r["hi"]
+        return tree, placed.drop("_at")
+
+    def leaf(self):
+        """Column function: leaf, cell and angle to the leaf's pivot of a vector."""
+        tree = self
+
+        @F.pandas_udf("leaf int, cell int, angle double")
+        def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for vecs in parts:
+                if len(vecs) == 0:
+                    yield pd.DataFrame({"leaf": [], "cell": [], "angle": []})
+                    continue
+                m = _unit_rows(vecs)
+                at = np.argmax(m @ tree.pivots.T, axis=1)
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", m, tree.pivots[at]), -1.0, 1.0))
+                yield pd.DataFrame({"leaf": at, "cell": tree.cell_of[at], "angle": angle})
+        return place
+
+    def visits(self):
+        """Column function: cells that may hold a row with at least the given cosine (null: any)."""
+        tree = self
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def cells(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for vecs, least in parts:
+                if len(vecs) == 0:
+                    yield pd.Series([], dtype=object)
+                    continue
+                b = np.arccos(np.clip(_unit_rows(vecs) @ tree.pivots.T, -1.0, 1.0))
+                reach = np.arccos(np.clip(least.fillna(-1.0).to_numpy(np.float64), -1.0, 1.0))
+                near = np.maximum(0.0, np.maximum(b - tree.hi, tree.lo - b)) <= reach[:, None] + SLACK
+                yield pd.Series([np.unique(tree.cell_of[x]).astype(np.int32) for x in near])
+        return cells
 
-PAIR_SCHEMA = "graph_id string, left_id string, right_id string, similarity double"
 
+PAIR_SCHEMA = "graph_id string, left_id string, right_id string, similarity double"
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float | None, k: int | None = None, keep_self: bool = False) -> DataFrame:
-    """Exact pairs with cosine >= threshold, at most the ``k`` best per left row.
 
-    A block keeps its own k best per left row, which always contain the overall k best.
-    Similarities are rounded to 9 digits and ties go to the smaller right id.
-    """
+def _joined_cells(left: DataFrame, right: DataFrame, threshold: float | None, k: int | None, keep_self: bool) -> DataFrame:
+    """Pairs of rows of one graph and cell; cells larger than a block, on either side, are split by hash."""
     def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"graph_id": [], "left_id": [], "right_id": [], "similarity": []})
@@ -103,30 +136,49 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float | None, k:
         i, j = np.nonzero(ok)
         return pd.DataFrame({"graph_id": key[0], "left_id": aid[i], "right_id": bid[j], "similarity": s[i, j]})
 
-    sides = _blocks(left.select("graph_id", "id", "vec"), right.select("graph_id", "id", "vec"), threshold)
-    if sides is None:
+    on = ["graph_id", "cell"]
+    n = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    parts = n(left, "nl").join(n(right, "nr"), on)
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keys = [*on, "lc", "rc"]
+    lb = left.join(parts, on).withColumn("lc", mine("nl")).withColumn("rc", every("nr")).select(*keys, "id", "vec")
+    rb = right.join(parts, on).withColumn("rc", mine("nr")).withColumn("lc", every("nl")).select(*keys, "id", "vec")
+    # fresh column identities: both sides may stem from one table
+    lb, rb = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (lb, rb))
+    return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(block, PAIR_SCHEMA)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float | None, k: int | None = None, keep_self: bool = False) -> DataFrame:
+    """Exact pairs with cosine >= threshold, at most the ``k`` best per left row.
+
+    With ``k`` there are two passes: a row first meets the cell it would itself belong to, and its k-th
+    best there is the bound with which leaves rule out further cells, so calls without a
+    threshold prune as well. A block keeps its own k best per left row, which always contain
+    the overall k best. Similarities are rounded to 9 digits and ties go to the smaller
+    right id. Fitting the tree runs Spark jobs while the plan is built.
+    """
+    left = left.select("graph_id", "id", "vec")
+    tree, right = PivotTree.fit(right.select("graph_id", "id", "vec"))
+    if tree is None:
         return left.limit(0).select("graph_id", F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("similarity"))
-    keys = ["graph_id", "cell", "lc", "rc"]
-    out = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(block, PAIR_SCHEMA)
+    best = lambda pairs: pairs if k is None else top_k(pairs, ["graph_id", "left_id"], [F.col("similarity").desc(), F.col("right_id")], k)
+    if tree.n_cells == 1:
+        return best(_joined_cells(left.withColumn("cell", F.lit(0)), right, threshold, k, keep_self))
+    least = F.lit(threshold).cast("double")
     if k is None:
-        return out
-    return top_k(out, ["graph_id", "left_id"], [F.col("similarity").desc(), F.col("right_id")], k)
+        return _joined_cells(left.withColumn("cell", F.explode(tree.visits()("vec", least))), right, threshold, k, keep_self)
+    home = materialize(left.withColumn("cell", tree.leaf()("vec")["cell"]))
+    first = materialize(best(_joined_cells(home, right, threshold, k, keep_self)))
+    bound = first.groupBy("graph_id", F.col("left_id").alias("id")).agg(F.min("similarity").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    more = home.join(bound, ["graph_id", "id"], "left").withColumn("seen", F.col("cell"))
+    more = more.withColumn("cell", F.explode(tree.visits()("vec", F.greatest("kth", least)))).filter("cell <> seen")
+    return best(first.unionByName(_joined_cells(more.select("graph_id", "id", "vec", "cell"), right, threshold, k, keep_self)))
 
 
 def max_similarity(users: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Highest cosine of every node to any user vector; one row per node and block leaves Python."""
-    def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"graph_id": [], "id": [], "similarity": []})
-        s = np.round(_unit_rows(a["vec"]) @ _unit_rows(b["vec"]).T, 9).max(axis=0)
-        return pd.DataFrame({"graph_id": key[0], "id": b["id"].to_numpy(), "similarity": s})
-
-    sides = _blocks(users.select("graph_id", "id", "vec"), nodes.select("graph_id", "id", "vec"), None)
-    if sides is None:
-        return nodes.limit(0).select("graph_id", "id", F.lit(0.0).alias("similarity"))
-    keys = ["graph_id", "cell", "lc", "rc"]
-    out = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(block, "graph_id string, id string, similarity double")
-    return out.groupBy("graph_id", "id").agg(F.max("similarity").alias("similarity"))
+    """Highest cosine of every node to any user vector: the node's nearest user."""
+    return similar_pairs(nodes, users, None, 1, keep_self=True).select("graph_id", F.col("left_id").alias("id"), "similarity")
 
 
 # --- connections ---------------------------------------------------------------------------
