@@ -158,3 +158,29 @@ def test_default_triple(spark):
     u = spark.createDataFrame([("g", "2", "B"), ("g", "1", "A"), ("h", "1", "C")], "graph_id string, seq string, label string")
     got = {r["graph_id"]: (r["subject_label"], r["object_label"]) for r in g.default_triple(u).collect()}
     assert got == {"g": ("A", "B"), "h": ("C", "Entity2")}
+
+
+def test_components_by_contraction(spark):
+    import random
+
+    from threadgraph.operators import connectivity as cn
+
+    rng = random.Random(6)
+    star = [("star", "hub", f"leaf{i:03d}") for i in range(300)]
+    path = [("path", f"{i:03d}", f"{i + 1:03d}") for i in range(400) if i % 57]
+    loose = [("loose", f"n{rng.randint(0, 200)}", f"n{rng.randint(0, 200)}") for _ in range(150)]
+    edges = star + path + loose + [("loose", "x", "x"), ("loose", "ghost1", "ghost2")]
+    links = spark.createDataFrame(edges, "graph_id string, source string, target string")
+    ids = {(g, v) for g, a, b in edges for v in (a, b)} - {("loose", "ghost2")} | {("alone", "one")}
+    nodes = spark.createDataFrame(sorted(ids), "graph_id string, id string")
+    got = {(r["graph_id"], r["id"]): r["component"] for r in cn.connected_components(nodes, cn.adjacency(links)).collect()}
+    want = {v: v for v in ids}
+    changed = True
+    while changed:
+        changed = False
+        for g, a, b in edges:
+            if (g, a) in want and (g, b) in want and want[g, a][1] != want[g, b][1]:
+                want[g, a] = want[g, b] = min(want[g, a], want[g, b])
+                changed = True
+    assert got == {v: c[1] for v, c in want.items()}
+    assert cn.connected_components(nodes.limit(0), cn.adjacency(links)).count() == 0

@@ -17,6 +17,8 @@ from threadgraph.operators.graph import (
 from threadgraph.session import materialize
 
 MICRO = 1_000_000_000
+#: Steps along pointers in a round of contraction; chains are short, as pointers follow a random order.
+HOPS = 4
 
 
 def khop(adj: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -42,29 +44,55 @@ def adjacency(links: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """Smallest node id of the component of every node, in about log(n) rounds.
-
-    Each round takes the smallest grandparent seen over a node's neighbours, hooks both the
-    node and its parent to it and shortcuts. Neighbour minima are plain aggregates, so a hub
-    costs one partial row per task.
+    """Smallest node id of the component of every node, by contraction.
+
+    A round points every node at the neighbour that a hash of the round ranks lowest, follows the
+    pointers ``HOPS`` times, merges the nodes that arrive at a root into it and goes on with
+    the distinct edges between what is left. Hash order keeps pointer chains short on
+    any graph, a star is one step; edges inside a merged group are gone at once, so finished components leave
+    and rounds shrink geometrically. Groups carry their smallest id along, and labels run back through the
+    rounds at the end. Minima are plain aggregates, combined in the tasks; relabelling
+    joins have one row a node on one side, so that a hub's edges can be split by AQE.
     """
-    state = nodes.select("graph_id", F.col("id").alias("node")).distinct().withColumn("f", F.col("node"))
-    state = materialize(state)
-    while True:
-        parent = state.select("graph_id", F.col("node").alias("f"), F.col("f").alias("gf"))
-        s = state.join(parent, ["graph_id", "f"])  # graph_id, f, node, gf
-        near = adj.join(s.select("graph_id", F.col("node").alias("nbr"), "gf"), ["graph_id", "nbr"])
-        low = near.groupBy("graph_id", "node").agg(F.min("gf").alias("m"))
-        hooks = s.join(low, ["graph_id", "node"], "left").select("graph_id", F.explode(F.array(
-            F.struct(F.col("node").alias("node"), F.least("gf", "m").alias("v"), F.lit(1).alias("own"), F.col("f").alias("old")),
-            F.struct(F.col("f").alias("node"), F.least("gf", "m").alias("v"), F.lit(0).alias("own"), F.lit(None).cast("string").alias("old")))).alias("h"))
-        new = hooks.groupBy("graph_id", F.col("h.node").alias("node")).agg(F.min("h.v").alias("f"), F.max("h.old").alias("_old"))
-        new = materialize(new)
-        moved = new.filter("f <> _old").limit(1).count()
-        state = new.drop("_old")
-        if moved == 0:
-            break
-    return state.select("graph_id", F.col("node").alias("id"), F.col("f").alias("component"))
+    names = nodes.select("graph_id", "id").distinct()
+    # numbers in the order of the ids: one long instead of two strings from here on
+    names = materialize(names.repartitionByRange("graph_id", "id").sortWithinPartitions("graph_id", "id").withColumn("code", F.monotonically_increasing_id()))
+    code = lambda c: names.select("graph_id", F.col("id").alias(c), F.col("code").alias(f"{c}_code"))
+    pairs = adj.filter(F.col("node") < F.col("nbr")).join(code("node"), ["graph_id", "node"]).join(code("nbr"), ["graph_id", "nbr"])
+    edges = materialize(pairs.select(F.col("node_code").alias("a"), F.col("nbr_code").alias("b")))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    low = None  # smallest number in each group of the level; a node stands for itself at first
+    while edges.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(levels)), c).alias("r"), F.col(c).alias("n"))
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("node"), F.col("a").alias("nbr")))).alias("e")).select("e.*")
+        best = ends.groupBy("node").agg(F.min(rank("nbr")).alias("best"))
+        to_best = best.select("node", F.col("best.n").alias("up"))
+        # ranks fall at every second step, so pointers only meet in pairs: the lower one of a pair is a root
+        back = to_best.join(to_best.select(F.col("node").alias("up"), F.col("up").alias("back")), "up")
+        root = (F.col("back") == F.col("node")) & (rank("node") < rank("up"))
+        up = materialize(back.select("node", F.when(root, F.col("node")).otherwise(F.col("up")).alias("up")))
+        far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        step = up.withColumn("far", F.col("up"))
+        for _ in range(HOPS):
+            step = step.select("node", F.col("far").alias("up")).join(far, "up")
+        # a group's members have all arrived at its root; the others stay what they are
+        arrived = materialize(step.select("node", F.when(F.col("up") == F.col("far"), F.col("up")).otherwise(F.col("node")).alias("root")))
+        own = arrived.withColumn("low", F.col("node")) if low is None else arrived.join(low, "node")
+        low = materialize(own.groupBy("root").agg(F.min("low").alias("low")).withColumnRenamed("root", "node"))
+        levels.append((arrived, low))
+        to = lambda c, name: arrived.select(F.col("node").alias(c), F.col("root").alias(name))
+        moved = edges.join(to("a", "ra"), "a").join(to("b", "rb"), "b").filter("ra <> rb")
+        edges = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    found = None
+    for arrived, lows in reversed(levels):
+        label = lows if found is None else lows.join(found, "node", "left").select("node", F.coalesce("label", "low").alias("low"))
+        found = arrived.join(label.select(F.col("node").alias("root"), F.col("low").alias("label")), "root").select("node", "label")
+    if found is None:
+        return names.select("graph_id", "id", F.col("id").alias("component"))
+    out = names.join(found.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
+    # few labels stand for many nodes: their names come from the numbers in use only
+    used = out.select(F.col("label").alias("code")).distinct().join(names.select("code", F.col("id").alias("component")), "code")
+    return materialize(out.join(used.withColumnRenamed("code", "label"), "label").select("graph_id", "id", "component"))
 
 
 def component_summary(components: DataFrame) -> DataFrame:
