@@ -238,7 +238,7 @@ def score_chain(src: str) -> str:
  t3 AS (SELECT *, greatest({','.join(f'c{j}' for j in range(len(lex.DOMAIN_TERMS)))}) AS bc, {dom_terms} AS bt FROM t2),
  sc AS (SELECT key, sim, fk, fa, fv, flow, low, response, prompt, ents, ln, pw,
   {RND(f"sim*0.40::DOUBLE + {share(cnt('low', lex.ACTION_VERBS), 5)}*0.25::DOUBLE + greatest(0.0, 1-{cnt('low', lex.VAGUE_TERMS)}/3.0::DOUBLE)*0.20::DOUBLE + {share(cnt('low', lex.CONCRETE_TERMS), 3)}*0.15::DOUBLE", 4)} AS actionability,
-  {RND(f"least({occ('low', lex.SEQUENCE_LITERALS + lex.SEQUENCE_TERMS)}/ns,1.0)*0.30::DOUBLE + {share(cnt('low', lex.DEPENDENCY_WORDS), 3)}*0.25::DOUBLE + {share('(' + steps + ')', 3)}*0.25::DOUBLE + flow*0.20::DOUBLE", 4)} AS coherence,
+  {RND(f"least({occ('low', lex.SEQUENCE_TERMS)}/ns,1.0)*0.30::DOUBLE + {share(cnt('low', lex.DEPENDENCY_WORDS), 3)}*0.25::DOUBLE + {share('(' + steps + ')', 3)}*0.25::DOUBLE + flow*0.20::DOUBLE", 4)} AS coherence,
   {RND(f"least(bc/greatest(len({wsplit('response')}),1)*100.0::DOUBLE,1.0)*0.50::DOUBLE + {cos('bt','w')}*0.30::DOUBLE + greatest(0.0, 1-least({cnt('low', lex.GENERIC_TERMS)}/5.0::DOUBLE,0.5))*0.20::DOUBLE", 4)} AS domain_specificity,
   {RND(f"{share(cnt('low', lex.TECHNICAL_TERMS), 5)}*0.40::DOUBLE + {share(cnt('low', lex.SPECIFIC_TOOLS), 3)}*0.30::DOUBLE + {share(cnt('low', lex.IMPLEMENTATION_TERMS), 4)}*0.20::DOUBLE + {share(cnt('low', lex.CODE_TERMS), 2)}*0.10::DOUBLE", 4)} AS technological_specificity,
   CASE WHEN length(trim(response))<10 THEN 0.0 ELSE least(10.0, greatest(0.0, (

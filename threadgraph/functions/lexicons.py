@@ -21,14 +21,14 @@ CONCRETE_TERMS = [
     "using", "with", "via", "through", "by implementing", "by configuring", "tool", "library", "framework",
     "platform", "service", "software",
 ]
+# fixed values; the patterns are counted literally, as text
 SEQUENCE_TERMS = [
+    r"step\s+\d+", r"instruction\s+\d+", r"\d+\.", r"\d+\)",
     "first", "second", "third", "then", "next", "after", "before", "finally", "initially", "subsequently",
     "meanwhile", "once", "when", "while", "therefore", "thus", "hence", "consequently", "as a result", "because",
     "since", "given that", "provided that", "assuming", "if", "unless", "furthermore", "moreover", "additionally",
     "also", "in addition", "building on", "expanding", "extending",
 ]
-# counted literally, as text, in the sequence term of coherence
-SEQUENCE_LITERALS = [r"step\s+\d+", r"instruction\s+\d+", r"\d+\.", r"\d+\)"]
 STEP_PATTERNS = [r"step\s+\d+", r"instruction\s+\d+", r"\d+\.", r"\d+\)", "first", "second", "third", "fourth", "fifth"]
 DEPENDENCY_WORDS = ["after", "before", "once", "when", "then", "next", "following"]
 GENERIC_TERMS = [

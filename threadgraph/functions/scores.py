@@ -74,7 +74,7 @@ def flow_score() -> Column:
 
 def coherence() -> Column:
     low = F.col("_low")
-    seq = occurrences(low, lex.SEQUENCE_LITERALS + lex.SEQUENCE_TERMS)
+    seq = occurrences(low, lex.SEQUENCE_TERMS)
     steps = sum((F.regexp_count(low, F.lit(p)) for p in lex.STEP_PATTERNS), F.lit(0))
     score = F.least(seq / F.greatest(F.size("_sents"), F.lit(1)), F.lit(1.0)) * 0.30 + _share(lexicon_count(low, lex.DEPENDENCY_WORDS), 3) * 0.25 + _share(steps, 3) * 0.25 + flow_score() * 0.20
     return F.when(F.col("response") == "", 0.0).otherwise(rnd(score, 4))

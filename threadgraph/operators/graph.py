@@ -15,6 +15,7 @@ from threadgraph.functions.lexicons import ENTITY_HINTS, PREDICATE_PREFIXES_ID,
 from threadgraph.functions.text import clean_label
 from threadgraph.operators.common import first_by, rnd, top_k
 
+# fixed values
 GROUP_PRIORITY = {"user": 5, "gnn": 4, "llm": 3, "connection": 2, "domain": 1, "other": 0}
 LAYERS = ["business", "system", "data", "technology"]
 

@@ -364,6 +364,7 @@ def choose_subgraph(inventory: DataFrame, priority: list[str]) -> DataFrame:
     return first_by(ok, ["graph_id"], ["_r"]).drop("_r")
 
 
+# fixed values
 SUBGRAPH_BONUS = {"gnn": 100, "mcts_reasoning_path": 90, "combined_subgraph": 80, "traversal": 70, "llm": 60}
 
 
