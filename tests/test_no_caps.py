@@ -68,3 +68,19 @@ def test_communities_are_finished(spark):
     for i in range(n):  # no two neighbouring communities would gain by a merge
         a, b = comm[f"{i:03d}"], comm[f"{(i + 1) % n:03d}"]
         assert a == b or size[a] * size[b] >= n / 2
+
+
+def test_quantiles_behind_outliers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {"far": np.concatenate([rng.random(3000), [1e12, -1e300, 1e308]]), "steps": 2.0 ** -np.arange(600.0), "ties": np.repeat([1.0, 2.0, 3.0], 400)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("ends", float("inf")), ("ends", float("nan"))]
+                               + [("ends", float(i)) for i in range(100)] + [("ends", float("-inf"))], "k string, v double")
+    data["ends"] = np.concatenate([[-np.inf], np.arange(100.0), [np.inf]])
+    qs = [0.01, 0.25, 0.5, 0.9, 0.99]
+    got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in ev.exact_quantiles(df, ["k"], "v", qs, parts=8, limit=5).collect()}
+    for k, v in data.items():
+        assert np.allclose(got[k], np.quantile(v, qs)), k
+    assert ev.exact_quantiles(df.limit(0), ["k"], "v", qs).count() == 0
+    assert ev.exact_quantiles(df.filter("k = 'ties'"), [], "v", [0.5]).first()["q0"] == 2.0

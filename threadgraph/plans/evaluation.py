@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from threadgraph.functions.lexicons import EVAL_COLUMNS, RECOMMENDATION, RECOMMENDATIONS
 from threadgraph.operators.common import rnd, top_k
+from threadgraph.session import materialize
 
 MODEL_ORDER = ["gnn", "mcts", "rmodel"]
 
@@ -83,29 +84,42 @@ def win_distribution(best: DataFrame, col: str = "best_model") -> DataFrame:
     return with_share(best.groupBy(col).agg(F.count(F.lit(1)).alias("wins")), "wins")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], buckets: int = 1000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], parts: int = 64, limit: int = 10_000) -> DataFrame:
     """Interpolated quantiles ``q0, q1, ...`` per key, exact, without a group's values in one task.
 
-    A histogram of equal-width buckets tells which bucket holds each rank; only the distinct
-    values of those buckets are put in order, bucket by bucket.
+    The cell that holds a wanted rank is cut at ``parts - 1`` of its approximate quantiles (a sketch,
+    combined inside tasks) again and again, until it has at most ``limit`` distinct values; only those
+    are put in order. Cuts follow the values, so however far these are spread, a cell shrinks by about
+    ``parts`` in a round. Nulls and NaN do not count, infinite values do. Runs a job per round while
+    the plan is built.
     """
     k = [*keys, "_one"]
-    vals = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).groupBy(*k, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = vals.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
-    placed = vals.join(ends, k).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(share * buckets))).select(*k, "_b", "_v", "_n")
-    before = lambda part, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hist = placed.groupBy(*k, "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", before(k, "_b"))
+    kept = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_one", F.lit(1))
+    vals = materialize(kept.groupBy(*k, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     at = lambda q: (F.col("_total") - 1) * F.lit(float(q))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(at(q)).alias("rank"), at(q).alias("at")) for i, q in enumerate(qs) for side, f in ((0, F.floor), (1, F.ceil))])
-    want = ends.select(*k, F.explode(ranks).alias("w")).select(*k, "w.*")
-    hit = hist.join(want, k).filter((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_n")))
-    hit = hit.select(*k, "_b", "i", "side", "at", (F.col("rank") - F.col("_before")).alias("off"))
-    inside = placed.join(hit.select(*k, "_b").distinct(), [*k, "_b"]).withColumn("_start", before([*k, "_b"], "_v"))
-    got = inside.join(hit, [*k, "_b"]).filter((F.col("_start") <= F.col("off")) & (F.col("off") < F.col("_start") + F.col("_n")))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(at(q)).alias("off"), at(q).alias("at")) for i, q in enumerate(qs) for side, f in ((0, F.floor), (1, F.ceil))])
+    ends = vals.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_total"))
+    state = materialize(ends.select(*k, "_lo", "_hi", "_d", F.explode(ranks).alias("w")).select(*k, "_lo", "_hi", "_d", "w.*"))
+    cell = [*k, "_lo", "_hi"]
+    before = lambda part, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = lambda cells: vals.join(cells.distinct(), k).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    while True:
+        wide = state.filter(F.col("_d") > limit)
+        if wide.isEmpty():
+            break
+        cuts = inside(wide.select(*cell)).groupBy(*cell).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
+        part = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+        hist = inside(materialize(cuts)).groupBy(*cell, part.alias("_b")).agg(
+            F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        hit = wide.join(hist.withColumn("_before", before(cell, "_b")), cell)
+        hit = hit.filter((F.col("_before") <= F.col("off")) & (F.col("off") < F.col("_before") + F.col("_n")))
+        hit = hit.select(*k, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_m").alias("_d"), "i", "side", (F.col("off") - F.col("_before")).alias("off"), "at")
+        state = materialize(state.filter(F.col("_d") <= limit).unionByName(hit))
+    got = inside(state.select(*cell)).withColumn("_start", before(cell, "_v")).join(state, cell)
+    got = got.filter((F.col("_start") <= F.col("off")) & (F.col("off") < F.col("_start") + F.col("_n")))
     pair = got.groupBy(*k, "i").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("b"), F.max("at").alias("at"))
     frac = F.col("at") - F.floor("at")
-    pair = pair.withColumn("v", F.col("a") * (1 - frac) + F.col("b") * frac)
+    pair = pair.withColumn("v", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - frac) + F.col("b") * frac))
     out = pair.groupBy(*k).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(qs))])
     return out.drop("_one") if keys else out
 
