@@ -163,3 +163,24 @@ def test_word_overlap_brute(spark):
         if n:
             want[u] = (best, n)
     assert got == want
+
+
+def test_token_join_brute(spark, monkeypatch):
+    import random
+
+    from threadgraph.operators import joins as jn
+
+    monkeypatch.setattr(jn, "SLICE", 7)  # the hot words are spread over many slices
+    rnd, vocab = random.Random(4), ["data", "the"] * 6 + [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 14)))
+    left, right = [*{text() for _ in range(60)}, "17", ""], [*{text() for _ in range(90)}, "3.5", ""]
+    a = spark.createDataFrame([(x,) for x in left] + [(None,)], "prompt_topic string")
+    b = spark.createDataFrame([(x,) for x in right] * 2 + [(None,)], "topic string")
+    bag = lambda t: set(t.split()) if not t.replace(".", "").isdigit() else set()
+    for t in (0.0, 0.3, 0.5, 0.8):
+        sim = {(x, y): len(bag(x) & bag(y)) / (len(bag(x)) * len(bag(y))) ** 0.5 for x in left for y in right if bag(x) & bag(y)}
+        want = {p: s for p, s in sim.items() if s > t}
+        got = [(r["prompt_topic"], r["topic"], r["similarity"]) for r in jn.topic_match(a, b, t).collect()]
+        assert len(got) == len(want) and all(abs(want[x, y] - s) < 1e-12 for x, y, s in got)
+        assert {r[0] for r in jn.topics_with_match(a, b, t).collect()} == {x for x, _ in want}
+    assert jn.topic_match(a, b.limit(0)).count() == jn.topic_match(a.limit(0), b).count() == 0
