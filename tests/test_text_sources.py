@@ -110,6 +110,22 @@ def test_owl_scan(spark, tmp_path):
     assert got == {("A", "rdf:type", "Tool", "uri"), ("A", "uses", "B", "uri"), ("A", "uses", "C", "uri"), ("B", "rdf:type", "Tool", "uri"), ("B", "note", "plain text", "literal")}
 
 
+def test_owl_children_of_all_kinds(spark, tmp_path):
+    """Literals as written, attributes in either quotes, comments, CDATA, nested and empty children, several lines."""
+    body = """<rdf:RDF><owl:NamedIndividual rdf:about="E"/><owl:NamedIndividual rdf:about='A&amp;1'>
+ <lab xml:lang="en"\n rdf:datatype='d'> a &lt;b&gt; "c" </lab><lab>007</lab><lab>1.50</lab><!-- <lab>gone</lab> --><x:e/><x:e></x:e>
+ <nest><lab>inner</lab></nest><raw><![CDATA[a < b]]></raw><two>first
+second</two><own/><self rdf:resource=''/></owl:NamedIndividual>
+<owl:NamedIndividual rdf:about="B" ><lab>b</lab><lab rdf:resource="u"/></owl:NamedIndividual></rdf:RDF>"""
+    (tmp_path / "a.owl").write_text(body)
+    (tmp_path / "b.owl").write_text("<rdf:RDF></rdf:RDF>")
+    got = sorted((r["s"], r["p"], r["o"], r["o_kind"], r["datatype"], r["lang"]) for r in on.scan_owl_xml(spark, str(tmp_path)).collect())
+    lit = lambda s, p, o: (s, p, o, "literal", None, None)
+    want = [("A&1", "lab", 'a <b> "c"', "literal", "d", "en"), lit("A&1", "lab", "007"), lit("A&1", "lab", "1.50"), lit("A&1", "raw", "a < b"),
+            ("A&1", "self", "", "uri", None, None), lit("A&1", "two", "first\nsecond"), lit("B", "lab", "b"), ("B", "lab", "u", "uri", None, None)]
+    assert got == sorted(want)
+
+
 def test_ontology_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("doc_id,sub,relation,obj\n1,a,uses,b\n1,b,has,c\n2,x,has,y\n")
     t = on.scan_ontology_csv(spark, str(tmp_path / "t.csv"))
