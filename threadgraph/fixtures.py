@@ -79,37 +79,36 @@ def order_triples(spark: SparkSession, sf: str) -> DataFrame:
     supp = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     geo = table(spark, sf, "nation").join(
         table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    head = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    full = (
-        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
-    olabel = F.concat(F.lit("Order "), F.col("gkey").cast("string"))
-
-    def rows(df, key, *triple):
-        return _triple(df.withColumn("gkey", F.col(key)), *triple[:-1], triple[-1]).withColumn(
-            "graph_id", F.concat(F.lit("o"), F.regexp_extract("seq", r"^\d(\d{13})", 1).cast("long").cast("string")))
-
-    pieces = [
-        rows(head, "o_orderkey", F.concat(F.lit("1"), _pad("gkey")), _id("c", "o_custkey"), F.col("c_name"), "places",
-             _id("o", "gkey"), olabel, "user", "business"),
-        rows(full, "l_orderkey", F.concat(F.lit("2"), _pad("gkey"), _pad("l_partkey")), _id("o", "gkey"), olabel,
-             "contains", _id("p", "l_partkey"), F.col("p_name"), "domain", "system").distinct(),
-        rows(full, "l_orderkey", F.concat(F.lit("3"), _pad("gkey"), _pad("l_partkey"), _pad("l_suppkey")),
-             _id("p", "l_partkey"), F.col("p_name"), "uses", _id("s", "l_suppkey"), F.col("s_name"), "domain", "data"),
-        rows(full.join(geo, F.col("s_nationkey") == F.col("n_nationkey")), "l_orderkey",
-             F.concat(F.lit("4"), _pad("gkey"), _pad("l_suppkey")), _id("s", "l_suppkey"), F.col("s_name"),
-             "is_part_of", _id("n", "n_nationkey"), F.col("n_name"), "domain", "technology").distinct(),
-        rows(head.join(geo, F.col("c_nationkey") == F.col("n_nationkey")), "o_orderkey",
-             F.concat(F.lit("5"), _pad("gkey")), _id("c", "o_custkey"), F.col("c_name"), "is_part_of",
-             _id("n", "n_nationkey"), F.col("n_name"), "connection", "business"),
-        rows(full.join(geo, F.col("s_nationkey") == F.col("n_nationkey")), "l_orderkey",
-             F.concat(F.lit("6"), _pad("gkey"), _pad("n_nationkey")), _id("n", "n_nationkey"), F.col("n_name"),
-             "belongs_to", _id("r", "r_regionkey"), F.col("r_name"), "domain", "technology").distinct(),
-    ]
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out.select("graph_id", *[c for c in out.columns if c != "graph_id"])
+    g = F.col("gkey")
+    olabel = F.concat(F.lit("Order "), g.cast("string"))
+    order_id = _id("o", "gkey")
+
+    def link(seq, sid, slabel, predicate, oid, olabel, origin, layer):
+        return F.struct(*[c.alias(n) for c, n in zip(
+            (seq, sid, slabel, F.lit(predicate), oid, olabel, F.lit(origin), F.lit(layer)),
+            ("seq", "subject_id", "subject_label", "predicate", "object_id", "object_label", "origin", "domain_type"))])
+
+    def rows(df, *links):
+        return df.select(_id("o", "gkey").alias("graph_id"), F.explode(F.array(*links)).alias("x")).select("graph_id", "x.*")
+
+    head = orders.withColumnRenamed("o_orderkey", "gkey").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    head = head.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    heads = rows(
+        head,
+        link(F.concat(F.lit("1"), _pad("gkey")), _id("c", "o_custkey"), F.col("c_name"), "places", order_id, olabel, "user", "business"),
+        F.when(F.col("n_name").isNotNull(), link(
+            F.concat(F.lit("5"), _pad("gkey")), _id("c", "o_custkey"), F.col("c_name"), "is_part_of", _id("n", "n_nationkey"), F.col("n_name"), "connection", "business")))
+    full = lines.withColumnRenamed("l_orderkey", "gkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    full = full.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(geo, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    known = lambda x: F.when(F.col("n_name").isNotNull(), x)
+    # the joins run once; what several lines of an order have in common is made distinct at the end
+    body = rows(
+        full,
+        link(F.concat(F.lit("2"), _pad("gkey"), _pad("l_partkey")), order_id, olabel, "contains", _id("p", "l_partkey"), F.col("p_name"), "domain", "system"),
+        link(F.concat(F.lit("3"), _pad("gkey"), _pad("l_partkey"), _pad("l_suppkey")), _id("p", "l_partkey"), F.col("p_name"), "uses", _id("s", "l_suppkey"), F.col("s_name"), "domain", "data"),
+        known(link(F.concat(F.lit("4"), _pad("gkey"), _pad("l_suppkey")), _id("s", "l_suppkey"), F.col("s_name"), "is_part_of", _id("n", "n_nationkey"), F.col("n_name"), "domain", "technology")),
+        known(link(F.concat(F.lit("6"), _pad("gkey"), _pad("n_nationkey")), _id("n", "n_nationkey"), F.col("n_name"), "belongs_to", _id("r", "r_regionkey"), F.col("r_name"), "domain", "technology")))
+    return heads.unionByName(body.distinct()).filter(F.col("seq").isNotNull())
 
 
 def seeds(spark: SparkSession, sf: str, segment: str = "FURNITURE") -> DataFrame:
