@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadgraph.operators import communities as cm
 from threadgraph.operators import connectivity as cn
 from threadgraph.operators import graph as g
+from threadgraph.session import materialize
 
 CLIQUE_A = [(f"a{i}", f"a{j}") for i in range(7) for j in range(i + 1, 7)]
 CLIQUE_B = [(f"b{i}", f"b{j}") for i in range(7) for j in range(i + 1, 7)]
@@ -72,7 +73,7 @@ def test_betweenness_matches_brandes(data):
 def test_centralities_of_star(data):
     nodes, links = data
     adj = cn.adjacency(links).cache()
-    c = {r["graph_id"]: r for r in cn.centralities(nodes, adj, cn.shortest_distances(nodes, adj)).collect()}
+    c = {r["graph_id"]: r for r in cn.centralities(nodes, adj).collect()}
     assert c["star"]["max_betweenness_centrality"] == 1.0 and c["star"]["max_degree_centrality"] == 1.0
     assert c["two"]["max_closeness_centrality"] == 0.0  # not connected
 
@@ -184,3 +185,35 @@ def test_components_by_contraction(spark):
                 changed = True
     assert got == {v: c[1] for v, c in want.items()}
     assert cn.connected_components(nodes.limit(0), cn.adjacency(links)).count() == 0
+
+
+def test_measures_in_waves(spark, tmp_path):
+    """A barbell, a star and single nodes in turns of three sources: as by brute force, and nothing of a turn stays."""
+    import os
+    from itertools import combinations
+
+    from threadgraph.session import checkpoint_dir
+
+    shapes = {"barbell": [*combinations("abcde", 2), ("e", "f"), ("f", "g"), *combinations("ghijk", 2)], "star": [("m", f"l{i}") for i in range(7)]}
+    links = spark.createDataFrame([(k, a, b) for k, e in shapes.items() for a, b in e], "graph_id string, source string, target string")
+    nodes = spark.createDataFrame([(k, v) for k, e in shapes.items() for v in sorted({x for p in e for x in p})] + [("one", "z"), ("star", "alone")], "graph_id string, id string")
+    adj = materialize(cn.adjacency(links))
+    root = checkpoint_dir(spark)
+    before = set(os.listdir(root))
+    node, edge, sums = cn.wave_betweenness(nodes, adj, wave=3)
+    left = len(set(os.listdir(root)) - before)
+    assert left <= 1 + 4 * 3  # the order of sources, and per turn three results of the four turns
+    got_n, got_e = _by_graph(node.collect(), "id", "betweenness"), {}
+    for r in edge.collect():
+        got_e.setdefault(r["graph_id"], {})[r["a"], r["b"]] = r["betweenness"]
+    far = {(r["graph_id"], r["id"]): (r["reach"], r["far"], r["far2"]) for r in sums.collect()}
+    close = lambda x: {k: round(v, 6) for k, v in x.items() if v > 1e-9}
+    for k, e in shapes.items():
+        want_n, want_e = brute.betweenness({x for p in e for x in p}, e)
+        assert close(got_n[k]) == close(want_n) and close(got_e[k]) == close(want_e)
+        for v in {x for p in e for x in p}:
+            d = list(brute.bfs(brute.neighbours(e), v)[0].values())
+            assert far[k, v] == (len(d), sum(d), sum(x * x for x in d))
+    assert far["one", "z"] == (1, 0.0, 0.0) and len(far) == nodes.count()
+    assert sorted(cn.source_sums(nodes, adj, wave=3).collect()) == sorted(sums.collect())
+    assert cn.source_sums(nodes.limit(0), adj).count() == 0

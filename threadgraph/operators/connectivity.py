@@ -6,7 +6,7 @@ checkpoint folder each round, and convergence is one aggregate over the written
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgraph.operators.common import rnd, top_k
@@ -14,11 +14,13 @@ from threadgraph.operators.graph import (
     both_ways, clustering_and_density, degrees, isolated_nodes, predicate_like_id,
     predicate_like_label, simple_edges, valid_links,
 )
-from threadgraph.session import materialize
+from threadgraph.session import materialize, release
 
 MICRO = 1_000_000_000
 #: Steps along pointers in a round of contraction; chains are short, as pointers follow a random order.
 HOPS = 4
+#: Sources per graph whose distances to all nodes are held at one time.
+WAVE = 64
 
 
 def khop(adj: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -131,56 +133,121 @@ def weighted_links(nodes: DataFrame, links: DataFrame, hub: int = 5) -> DataFram
 
 # --- shortest paths ------------------------------------------------------------------------
 
-def shortest_distances(nodes: DataFrame, adj: DataFrame, weight: str | None = None) -> DataFrame:
-    """All-pairs distances inside components: graph_id, source, node, d (long).
+def _kept(made: list[DataFrame] | None):
+    """``materialize`` that notes its tables in ``made``, for a later ``release``."""
+    def write(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        if made is not None:
+            made.append(out)
+        return out
+    return write
+
+
+def shortest_distances(nodes: DataFrame, adj: DataFrame, weight: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
+    """Distances from the given nodes to all of their components: graph_id, source, node, d (long).
 
     Only pairs improved in the last round are extended. Weights are compared as whole
-    micro-units, so equal lengths tie exactly.
+    micro-units, so equal lengths tie exactly. Tables written on the way are noted in ``made``.
     """
+    write = _kept(made)
     w = F.round(F.col(weight) * MICRO).cast("long") if weight else F.lit(1).cast("long")
     hop = adj.select("graph_id", "node", "nbr", w.alias("w"))
-    dist = materialize(nodes.select("graph_id", F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("d")).distinct())
+    dist = write(nodes.select("graph_id", F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("d")).distinct())
     frontier = dist
     while True:
         cand = frontier.join(hop, ["graph_id", "node"]).groupBy("graph_id", "source", F.col("nbr").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("c"))
         better = cand.join(dist, ["graph_id", "source", "node"], "left").filter(F.col("d").isNull() | (F.col("c") < F.col("d")))
-        frontier = materialize(better.select("graph_id", "source", "node", F.col("c").alias("d")))
+        frontier = write(better.select("graph_id", "source", "node", F.col("c").alias("d")))
         if frontier.limit(1).count() == 0:
             break
         if weight:
             merged = dist.unionByName(frontier).groupBy("graph_id", "source", "node").agg(F.min("d").alias("d"))
-            dist = materialize(merged)
+            dist = write(merged)
         else:
             dist = dist.unionByName(frontier)
     return dist
 
 
-def path_length_stats(dist: DataFrame) -> DataFrame:
-    """Mean (2) and sample variance (4) of hop lengths over ordered pairs."""
-    d = dist.filter("source <> node").withColumn("x", F.col("d").cast("double"))
-    return d.groupBy("graph_id").agg(
-        rnd(F.sum("x") / F.count(F.lit(1)), 2).alias("avg_path_length"),
-        F.when(F.count(F.lit(1)) > 1, rnd((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / F.count(F.lit(1))) / (F.count(F.lit(1)) - 1), 4))
-        .otherwise(0.0).alias("path_length_variance"))
+def _waves(nodes: DataFrame, size: int):
+    """The nodes of every graph in turns of ``size``; small graphs are done after the first turn.
+
+    Turns come from counts per (graph, hash bucket), so no graph is put in order in one task.
+    """
+    ids = nodes.select("graph_id", "id").distinct()
+    fine = Window.partitionBy("graph_id", "_b").orderBy("id")
+    ids = ids.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(4096))).withColumn("_i", F.row_number().over(fine) - 1)
+    counts = ids.groupBy("graph_id", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    start = F.coalesce(F.sum("_c").over(Window.partitionBy("graph_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turn = F.floor((F.col("_i") + F.col("_start")) / size).cast("int")
+    ids = materialize(ids.join(counts.withColumn("_start", start), ["graph_id", "_b"]).select("graph_id", "id", turn.alias("wave")))
+    for i in range((ids.agg(F.max("wave")).first()[0] or 0) + 1):
+        yield ids.filter(F.col("wave") == i).select("graph_id", "id")
+
+
+def source_sums(nodes: DataFrame, adj: DataFrame, wave: int | None = None) -> DataFrame:
+    """Per source: nodes reached (itself included), sum and sum of squares of hop distances.
+
+    Distances of ``wave`` sources a graph exist at a time and are deleted once they are added up.
+    """
+    parts = []
+    for some in _waves(nodes, wave or WAVE):
+        made: list[DataFrame] = []
+        parts.append(materialize(distance_sums(shortest_distances(some, adj, made=made))))
+        release(*made)
+    return _union(parts)
+
+
+def distance_sums(dist: DataFrame) -> DataFrame:
+    """``source_sums`` of given pairs."""
+    d = F.col("d").cast("double")
+    return dist.groupBy("graph_id", F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("reach"), F.sum(d).alias("far"), F.sum(d * d).alias("far2"))
+
 
+def path_length_stats(sums: DataFrame) -> DataFrame:
+    """Mean (2) and sample variance (4) of hop lengths over ordered pairs. ``sums``: as of ``source_sums``."""
+    g = sums.filter("reach > 1").groupBy("graph_id").agg(F.sum(F.col("reach") - 1).alias("n"), F.sum("far").alias("s"), F.sum("far2").alias("q"))
+    return g.select(
+        "graph_id", rnd(F.col("s") / F.col("n"), 2).alias("avg_path_length"),
+        F.when(F.col("n") > 1, rnd((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), 4)).otherwise(0.0).alias("path_length_variance"))
 
-def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Unnormalised node and edge betweenness over all sources.
+
+def wave_betweenness(nodes: DataFrame, adj: DataFrame, weight: str | None = None, wave: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node and edge betweenness and ``source_sums`` over all sources, ``wave`` sources a graph at a time.
+
+    Each turn leaves one number per node, edge and source; its distances, path counts and flows are
+    deleted, so storage follows nodes and edges and not their square.
+    """
+    sums, by_node, by_edge = [], [], []
+    for some in _waves(nodes, wave or WAVE):
+        made: list[DataFrame] = []
+        dist = shortest_distances(some, adj, weight, made)
+        node, edge = betweenness(adj, dist, weight, made)
+        sums.append(materialize(distance_sums(dist)))
+        by_node.append(materialize(node))
+        by_edge.append(materialize(edge))
+        release(*made)
+    add = lambda parts, *by: _union(parts).groupBy("graph_id", *by).agg(F.sum("betweenness").alias("betweenness"))
+    return add(by_node, "id"), add(by_edge, "a", "b"), _union(sums)
+
+
+def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unnormalised node and edge betweenness over the sources of ``dist``.
 
     Shortest-path edges of every source form a DAG. Path counts flow forward and
     dependencies backward, one DataFrame join per hop for all graphs and sources at once.
     """
+    write = _kept(made)
     w = F.round(F.col(weight) * MICRO).cast("long") if weight else F.lit(1).cast("long")
     hop = adj.select("graph_id", F.col("node").alias("v"), F.col("nbr").alias("w"), w.alias("len"))
     d = dist.select("graph_id", "source", "node", "d")
     dag = d.withColumnRenamed("node", "v").join(hop, ["graph_id", "v"]).join(
         d.select("graph_id", "source", F.col("node").alias("w"), F.col("d").alias("dw")), ["graph_id", "source", "w"])
-    dag = materialize(dag.filter("d + len = dw").select("graph_id", "source", "v", "w"))
+    dag = write(dag.filter("d + len = dw").select("graph_id", "source", "v", "w"))
 
     cur = d.filter("source = node").select("graph_id", "source", F.col("node").alias("v"), F.lit(1.0).alias("x"))
     counts = [cur]
     while True:
-        cur = materialize(dag.join(cur, ["graph_id", "source", "v"]).groupBy("graph_id", "source", F.col("w").alias("v")).agg(F.sum("x").alias("x")))
+        cur = write(dag.join(cur, ["graph_id", "source", "v"]).groupBy("graph_id", "source", F.col("w").alias("v")).agg(F.sum("x").alias("x")))
         if cur.limit(1).count() == 0:
             break
         counts.append(cur)
@@ -190,12 +257,12 @@ def betweenness(adj: DataFrame, dist: DataFrame, weight: str | None = None) -> t
     sigma = sigma.groupBy("graph_id", "source", "v").agg(F.sum("x").alias("sigma"))
     part = dag.join(sigma, ["graph_id", "source", "v"]).join(
         sigma.select("graph_id", "source", F.col("v").alias("w"), F.col("sigma").alias("sw")), ["graph_id", "source", "w"])
-    part = materialize(part.select("graph_id", "source", "v", "w", (F.col("sigma") / F.col("sw")).alias("share")))
+    part = write(part.select("graph_id", "source", "v", "w", (F.col("sigma") / F.col("sw")).alias("share")))
 
     x = part.select("graph_id", "source", "w").distinct().withColumn("x", F.lit(1.0))
     edge_parts, node_parts = [], []
     for _ in range(len(counts)):
-        flow = materialize(part.join(x, ["graph_id", "source", "w"]).select("graph_id", "source", "v", "w", (F.col("share") * F.col("x")).alias("f")))
+        flow = write(part.join(x, ["graph_id", "source", "w"]).select("graph_id", "source", "v", "w", (F.col("share") * F.col("x")).alias("f")))
         if flow.limit(1).count() == 0:
             break
         edge_parts.append(flow.groupBy("graph_id", "v", "w").agg(F.sum("f").alias("f")))
@@ -218,13 +285,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def centralities(nodes: DataFrame, adj: DataFrame, dist: DataFrame) -> DataFrame:
+def centralities(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Mean and maximum of degree, betweenness and closeness centrality per graph (4 digits)."""
     per = nodes.select("graph_id", "id").distinct()
     n = per.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
     deg = adj.groupBy("graph_id", F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    far = dist.groupBy("graph_id", F.col("source").alias("id")).agg(F.sum("d").cast("double").alias("far"), F.count(F.lit(1)).alias("reach"))
-    node_b, _ = betweenness(adj, dist)
+    node_b, _, far = wave_betweenness(per, adj)
     j = per.join(n, "graph_id").join(deg, ["graph_id", "id"], "left").join(far, ["graph_id", "id"], "left").join(node_b, ["graph_id", "id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     pairs = (F.col("n") - 1) * (F.col("n") - 2)
@@ -247,7 +313,7 @@ def consistency_metrics(nodes: DataFrame, links: DataFrame, adj: DataFrame | Non
     """Clustering, density, path lengths and components; fixed values below three nodes."""
     adj = adj if adj is not None else materialize(adjacency(valid_links(nodes, links)))
     base = clustering_and_density(nodes, links)
-    paths = path_length_stats(shortest_distances(nodes, adj))
+    paths = path_length_stats(source_sums(nodes, adj))
     comps = component_summary(connected_components(nodes, adj))
     j = base.join(paths, "graph_id", "left").join(comps, "graph_id")
     small = F.col("node_count") < 3

@@ -47,3 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize`` that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        base = path(checkpoint_dir(spark))
+        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path(folder).toUri().getPath().startswith(base.toUri().getPath() + "/"):
+                fs.delete(path(folder), True)
