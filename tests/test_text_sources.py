@@ -63,6 +63,15 @@ def test_hand_lists_zip(spark):
     assert got == [("healthcare", "uses", "management"), ("AI", "analyzes", "analysis")]
 
 
+def test_triples_of_all_relation_words(spark):
+    text = "Old stone bridge was part of northern trade road. Is nothing. Walls were of of clay; is 12. The of the. Roof IS red tile"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a is b is c " * 3)], "doc_id long, text string")
+    got = [tuple(r) for r in cp.extract_triples(docs, ["was", "were", "is", "of"]).orderBy("doc_id", "sentence_no", "match_no").collect() if r["doc_id"] < 4]
+    assert got == [(1, 0, 0, "old stone bridge", "was", "part"), (1, 0, 1, "part", "of", "northern trade road"), (1, 4, 0, "roof", "is", "red tile")]
+    rows = cp.extract_triples(docs.filter("doc_id = 4"), ["is"], stop=("x",)).orderBy("match_no").collect()
+    assert [(r["subject"], r["object"]) for r in rows] == [("a", "b"), ("b", "c a"), ("c a", "b"), ("b", "c a"), ("c a", "b"), ("b", "c")]
+
+
 def test_spelling_prefers_near_then_frequent(spark):
     known = spark.createDataFrame([("graph", 5), ("grape", 50), ("model", 9)], "word string, n long")
     unknown = spark.createDataFrame([("graphs",), ("grap",), ("modle",), ("zzzzzzz",)], "word string")
