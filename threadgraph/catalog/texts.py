@@ -276,12 +276,12 @@ def instruction_q(spark, sf):
 
 @query("t9_score_responses", with_views(score_chain("SELECT prompt_id||'#gnn' AS key, prompt, response FROM pairs UNION ALL SELECT prompt_id||'#mcts', prompt, prompt FROM pairs UNION ALL SELECT prompt_id||'#rmodel', prompt, prompt||' '||response FROM pairs").replace(
     "sx AS (SELECT key, generate_subscripts(ss,1) AS i, list_distinct(" + toks("s1") + ") AS tk FROM (SELECT key, ss, unnest(ss) AS s1, generate_subscripts(ss,1) AS i0 FROM t0)),", "")
-    + "SELECT split_part(key,'#',1) AS prompt_id, max(overall) FILTER (key LIKE '%#gnn') AS gnn_overall, max(overall) FILTER (key LIKE '%#mcts') AS mcts_overall, max(overall) FILTER (key LIKE '%#rmodel') AS rmodel_overall FROM fin GROUP BY 1"))
+    + "SELECT split_part(key,'#',1) AS prompt_id, " + ", ".join(f"max({k}) FILTER (key LIKE '%#{m}') AS {m}_{k}" for m in ("gnn", "mcts", "rmodel") for k in sc.SCORES) + " FROM fin GROUP BY 1"))
 def responses_q(spark, sf):
     p = fx.prompt_pairs(spark, sf)
     models = F.array(F.struct(F.lit("gnn").alias("m"), F.col("response").alias("t")), F.struct(F.lit("mcts").alias("m"), F.col("prompt").alias("t")), F.struct(F.lit("rmodel").alias("m"), F.concat_ws(" ", "prompt", "response").alias("t")))
     long = p.select("prompt_id", "prompt", F.explode(models).alias("x")).select("prompt_id", "prompt", F.col("x.m").alias("model"), F.col("x.t").alias("response"))
-    return sc.score_responses(long).select("prompt_id", "gnn_overall", "mcts_overall", "rmodel_overall")
+    return sc.score_responses(long)
 
 
 @query("w8_sentence_flow", with_views(PAIR_CHAIN + f"SELECT key AS prompt_id, {RND('flow')} AS flow FROM sc"))
