@@ -363,9 +363,9 @@ def prioritize_q(spark, sf):
     return prioritize(fx.triples(spark, sf), 20, terms=["ai", "data", "system", "model"]).select("graph_id", "seq")
 
 
-@query("g5_weighted_links", with_views(f"""WITH deg AS (SELECT graph_id, id, count(*) AS d FROM (SELECT graph_id, source AS id FROM olinks UNION ALL SELECT graph_id, target FROM olinks) GROUP BY ALL)
+@query("g5_weighted_links", with_views(f"""WITH l AS MATERIALIZED (SELECT graph_id, source, target FROM olinks), deg AS (SELECT graph_id, id, count(*) AS d FROM (SELECT graph_id, unnest([source, target]) AS id FROM l) GROUP BY ALL)
  SELECT e.graph_id, e.a, e.b, {RND("CASE WHEN x.d>5 OR y.d>5 THEN 1.0/(sqrt((x.d*y.d)::DOUBLE)+0.1) ELSE 1.0 END")} AS weight FROM
- (SELECT DISTINCT graph_id, least(source,target) AS a, greatest(source,target) AS b FROM olinks) e JOIN deg x ON x.graph_id=e.graph_id AND x.id=e.a JOIN deg y ON y.graph_id=e.graph_id AND y.id=e.b"""))
+ (SELECT DISTINCT graph_id, least(source,target) AS a, greatest(source,target) AS b FROM l) e JOIN deg x ON x.graph_id=e.graph_id AND x.id=e.a JOIN deg y ON y.graph_id=e.graph_id AND y.id=e.b"""))
 def weighted_links_q(spark, sf):
     nodes, links = _order_graph(spark, sf)
     return cn.weighted_links(nodes, links).withColumn("weight", rnd(F.col("weight")))
