@@ -84,7 +84,7 @@ def win_distribution(best: DataFrame, col: str = "best_model") -> DataFrame:
     return with_share(best.groupBy(col).agg(F.count(F.lit(1)).alias("wins")), "wins")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], parts: int = 64, limit: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], parts: int = 64, limit: int = 200_000) -> DataFrame:
     """Interpolated quantiles ``q0, q1, ...`` per key, exact, without a group's values in one task.
 
     The cell that holds a wanted rank is cut at ``parts - 1`` of its approximate quantiles (a sketch,
