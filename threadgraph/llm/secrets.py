@@ -29,13 +29,27 @@ _BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), None),  # runs are taken whole, so the length can stand in the pattern
 )
 _WORDS = ("pass", "secret", "token", "api")
-#: The keyword begins a part of the name, so parts may stand before it (DB_PASS, AWS_SECRET_ACCESS_KEY); values are taken whole.
-_FIELD = r"""(?<![A-Za-z0-9])(?ai:%s)["']?\x20*[:=]\x20*["']?(%s)"""
+#: The keyword begins a part of the name, so parts may stand before it (DB_PASS, AWS_SECRET_ACCESS_KEY, dbPass); values are taken whole.
+_FIELD = r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?ai:%s)["']?\x20*[:=]\x20*["']?(%s)"""
+_SCHEME = r"(?<![A-Za-z0-9])(?ai:https?|jdbc(?::[a-z0-9]{1,20})?|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?|s?ftp|ssh)://"
+#: User and password in front of a host.
+_LOGIN = r"([^\s/:@?#]++)(?::([^\s/@?#]++))?+@"
+_SECRET = r"[A-Za-z0-9+/_=-]{8,}"
+#: Kinds of a pattern's groups; a value of kind ``random`` is a secret only if it does not look like a word.
 _WEAK = (
-    ("identifier", re.compile(_FIELD % ("user|username|login|account|client_?id|access_?id|access_?key_?id", r"[A-Za-z0-9_.@-]{3,}"))),
-    ("secret", re.compile(_FIELD % ("pwd|pass|key|private|credential|auth|signature", r"[A-Za-z0-9+/_=-]{8,}"))),
-    ("endpoint", re.compile(r"(?ai:https?|jdbc|postgres|mysql|redis|mongodb|amqp|s?ftp)://([A-Za-z0-9_.-]{3,})|" + _FIELD % ("host|endpoint|server", r"[A-Za-z0-9_.-]{3,}"))),
+    (("identifier",), re.compile(_FIELD % ("user|username|login|account|client_?id|access_?id|access_?key_?id", r"[A-Za-z0-9_.@-]{3,}"))),
+    (("secret",), re.compile(_FIELD % ("pwd|pass", _SECRET))),
+    (("random",), re.compile(_FIELD % ("key|private|credential|auth|signature", _SECRET))),
+    (("random",), re.compile(r"(?<![A-Za-z0-9])(?ai:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{8,})")),
+    (("identifier", "secret", "endpoint"), re.compile(_SCHEME + "(?:" + _LOGIN + ")?+([A-Za-z0-9_.-]{3,})")),
+    (("endpoint",), re.compile(_FIELD % ("host|endpoint|server", r"[A-Za-z0-9_.-]{3,}"))),
 )
+_LETTER, _DIGIT, _INNER_CAPITAL, _SMALL = (re.compile(p) for p in ("[A-Za-z]", "[0-9]", "(?s:.)[A-Z]", "[a-z]"))
+
+
+def looks_random(value: str) -> bool:
+    """Letters with digits, or small letters with capitals after the first character; a plain word or number is neither."""
+    return bool(_LETTER.search(value) and _DIGIT.search(value) or _INNER_CAPITAL.search(value) and _SMALL.search(value))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -50,15 +64,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_parts(text: str) -> list[tuple[str, int, int]]:
-    """Parts of a credential that prove nothing alone; the span is the value of the field."""
+    """Parts of a credential that prove nothing alone, each once, by start; the span is the value of the field, the login or the host."""
     if ":" not in text and "=" not in text:
         return []
-    found = []
-    for kind, pattern in _WEAK:
+    found = set()
+    for kinds, pattern in _WEAK:
         for m in pattern.finditer(text):
-            g = m.lastindex
-            found.append((kind, m.start(g), m.end(g)))
-    return found
+            for g, kind in enumerate(kinds, 1):
+                if m[g] is not None and (kind != "random" or looks_random(m[g])):
+                    found.add(("secret" if kind == "random" else kind, m.start(g), m.end(g)))
+    return sorted(found, key=lambda p: (p[1], p[0], p[2]))
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
