@@ -3,8 +3,8 @@
 Base matches of four kinds are the seeds. The words beside a seed make lexical patterns.
 Patterns and the identifier-like tokens beside them form a graph that Spark scores in
 rounds: a pattern is as good as the confidence of the distinct values it stands beside, a
-value as sure as the patterns that point at it. Patterns that stay sure extract the tokens
-no base rule knows. Everything is DataFrame expressions; texts are not shuffled.
+value as sure as the patterns that point at it. Sure patterns extract the tokens no base rule knows, which
+vouch for further patterns, until a round finds nothing new. Everything is DataFrame expressions; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadgraph.llm import query
-from threadgraph.llm.common import attach, documents, span_text, stored, table
+from threadgraph.llm.common import attach, discard, documents, span_text, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns that match as the plain ones do, but start only where a run starts and never backtrack into a run, so that time is linear.
@@ -25,10 +25,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Tokens that may be identifiers: runs with a digit.
-TOKEN = r"(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z_@.+/-]*+[0-9])[A-Za-z0-9_@.+/-]++"
-TOKEN_CHARS = (6, 64)
-ROUNDS, MIN_SEEDS, SURE = 3, 5, 0.8
+#: Tokens that may be identifiers: runs of any length with a digit, an underscore, an @ or a dot inside, and further
+#: runs with a digit after one blank each (numbers written in groups).
+_RUN = r"[A-Za-z0-9_@+/-]++(?:\.[A-Za-z0-9_@+/-]++)*+"
+TOKEN = (r"(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z+/-]*+(?:[0-9_@]|\.[A-Za-z0-9_@+/-]))" + _RUN
+         + r"(?:\x20(?=[A-Za-z_@+/-]*+(?:\.[A-Za-z_@+/-]++)*+\.?[0-9])" + _RUN + ")*+")
+#: Distinct seed values a pattern needs, the score from which it is sure, and what a value of no known kind counts against it.
+MIN_SEEDS, SURE, DOUBT = 5, 0.8, 0.25
 #: Characters of context beside a match that are looked at.
 BESIDE = 80
 
@@ -56,7 +59,7 @@ def matches(docs: DataFrame) -> DataFrame:
     Repeated rows give their matches once.
     """
     t = F.col("text")
-    some = t.rlike("[0-9]") | F.contains(t, F.lit("@"))
+    some = t.rlike(r"[0-9@_]|\.[A-Za-z+/-]")
     cut = []
     for kind, pattern in (PATTERNS | {"token": TOKEN}).items():
         found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
@@ -90,31 +93,46 @@ def contexts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.explode(F.array_compact(F.array(one, two, after))))
 
 
-def bootstrap(seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, sure: float = SURE) -> DataFrame:
-    """Sure patterns ``pattern, kind, score`` after ``rounds`` of scoring the pattern-instance graph.
+def bootstrap(seeds: DataFrame, tokens: DataFrame, min_seeds: int = MIN_SEEDS, sure: float = SURE, doubt: float = DOUBT) -> DataFrame:
+    """Sure patterns ``pattern, kind, score`` of the pattern-instance graph.
 
-    An edge is a distinct (value, pattern). A pattern's score for a kind is the confidence of
-    that kind summed over its distinct values, over their number plus one; it needs
-    ``min_seeds`` distinct seed values. A value's confidence is one for its seed kind, else
-    one minus the product of (1 - score) over its sure patterns.
+    An edge is a distinct (value, pattern). A pattern's score for a kind is pos / (pos + neg + 1):
+    pos sums the confidence of its values in that kind, neg counts one for a seed of other kinds only and
+    ``doubt`` for every missing part of the confidence of a value that is no seed. It needs ``min_seeds``
+    distinct seed values of the kind. A token that sure patterns point at is found with one minus the product of
+    (1 - score) over them and keeps that confidence; rounds end when one finds no new (token, kind). Each round
+    can only raise scores, so this ends.
     """
-    s = contexts(seeds).select("value", "pattern", F.col("kind"))
-    edges = stored(s.select("value", "pattern").unionByName(contexts(tokens).select("value", "pattern")).distinct())
+    both = contexts(seeds).select("value", "pattern").unionByName(contexts(tokens).select("value", "pattern"))
+    edges = stored(both.distinct())
     known = stored(seeds.select("value", "kind").distinct())
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    belief = known.select("value", "kind", F.lit(1.0).alias("conf"), F.lit(1).alias("seed"))
-    strong = None
-    for _ in range(rounds):
-        votes = edges.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("conf").alias("pos"), F.sum("seed").alias("seeds"))
-        votes = votes.filter(F.col("seeds") >= min_seeds)
-        strong = stored(votes.join(total, "pattern").select("pattern", "kind", (F.col("pos") / (F.col("total") + 1)).alias("score")).filter(F.col("score") >= sure))
-        more = edges.join(strong, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("conf"))
-        more = more.filter(F.col("conf") >= sure).join(known, ["value", "kind"], "left_anti").select("value", "kind", "conf", F.lit(0).alias("seed"))
-        belief = known.select("value", "kind", F.lit(1.0).alias("conf"), F.lit(1).alias("seed")).unionByName(more)
-    return strong
-
-
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, sure: float = SURE) -> DataFrame:
+    of_seeds = known.select("value").distinct().withColumn("seed", F.lit(1))
+    # values of a pattern that are seeds of any kind, and all its values
+    size = stored(edges.join(of_seeds, "value", "left").groupBy("pattern").agg(F.count("seed").alias("labelled"), F.count(F.lit(1)).alias("total")))
+    votes = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= min_seeds)
+    votes = stored(votes.join(size, "pattern"))
+    open_edges = stored(edges.join(of_seeds, "value", "left_anti").join(votes.select("pattern").distinct(), "pattern", "left_semi"))
+    discard(edges, size)
+    found = None
+    while True:
+        gained = votes.withColumn("gain", F.lit(0.0))
+        if found is not None:
+            gain = open_edges.join(found, "value").groupBy("pattern", "kind").agg(F.sum("conf").alias("gain"))
+            gained = votes.join(gain, ["pattern", "kind"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+        pos = F.col("seeds") + F.col("gain")
+        neg = F.col("labelled") - F.col("seeds") + doubt * (F.col("total") - F.col("labelled") - F.col("gain"))
+        strong = stored(gained.select("pattern", "kind", (pos / (pos + neg + 1)).alias("score")).filter(F.col("score") >= sure))
+        new = open_edges.join(strong, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("conf"))
+        if found is not None:
+            new = new.join(found, ["value", "kind"], "left_anti")
+        new = stored(new)
+        if new.isEmpty():
+            return strong
+        found = new if found is None else stored(found.unionByName(new))
+        discard(strong)
+
+
+def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, sure: float = SURE, doubt: float = DOUBT) -> DataFrame:
     """Spans of personal data: ``doc_id, fp, kind, start, end, base``, one row per span.
 
     ``base`` tells matches of the base rules from tokens found by context; a token that
@@ -131,8 +149,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     next_ = F.min(F.when(is_base, F.col("start"))).over(so_far(F.desc("start")))
     lone = found.withColumns({"reach": reach, "next": next_}).filter(~is_base)
     lone = lone.filter((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
-    tokens = stored(lone.filter(F.length("value").between(*TOKEN_CHARS)).drop("reach", "next", "kind"))
-    strong = bootstrap(seeds, tokens, rounds, min_seeds, sure)
+    tokens = stored(lone.drop("reach", "next", "kind"))
+    strong = bootstrap(seeds, tokens, min_seeds, sure, doubt)
     hits = contexts(tokens).join(strong, "pattern").groupBy("doc_id", "fp", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     extra = hits.select("doc_id", "fp", F.col("best.kind").alias("kind"), "start", "end", F.lit(False).alias("base"))
     return seeds.select("doc_id", "fp", "kind", "start", "end", F.lit(True).alias("base")).unionByName(extra)
