@@ -125,6 +125,29 @@ def test_layered_and_fallback(search):
     assert f[:2] == ["u", "u"] and len(f) == 5
 
 
+def test_choose_path_is_the_better_one_processed(search):
+    only = search.filter("graph_id = 'g'").withColumn("graph_id", F.lit("x"))
+    none = only.withColumns({"graph_id": F.lit("y"), "subject_is_user": F.lit(False), "subject_layer": F.lit("other"), "object_layer": F.lit("other")})
+    both = only.unionByName(none)
+    got = pt.choose_path(both, depth=2, stage_depth=1).collect()
+    steps = sorted((r["pos"], r["subject"], r["object"]) for r in got if r["path_id"] == "x")
+    beam, staged = pt.beam_search(both, depth=2).drop("score"), pt.layered_path(both, depth=1)
+    best = pt.select_best_path(beam.unionByName(staged.select(beam.columns)), path="path_key").filter("graph_id = 'x'")
+    want = pt.post_process_path(pt.state_steps(best), both).collect()
+    assert steps == sorted((r["pos"], r["subject"], r["object"]) for r in want)
+    # no user subject and no known layer: nothing opens a path, so the first triples stand in
+    assert sorted((r["pos"], r["subject"], r["object"]) for r in got if r["path_id"] == "y") == [
+        (1, "u", "s1"), (2, "u", "s2"), (3, "s1", "d1"), (4, "s1", "d2"), (5, "d2", "t1")]
+
+
+def test_seeds_per_graph(spark):
+    users = spark.createDataFrame([("g", "u1", "red ring"), ("h", "u2", "blue big box"), ("k", "u3", "none")], "graph_id string, id string, label string")
+    # the best match of u2 in all graphs stands in g; only the one of its own graph counts
+    ents = [("g", "1", "red ring"), ("g", "2", "blue big box here"), ("h", "3", "big tree"), ("h", "4", "red ring"), *[("k", str(i), f"x{i}") for i in range(5, 9)]]
+    got = {(r["graph_id"], r["id"]) for r in sm.semantic_seeds(users, spark.createDataFrame(ents, "graph_id string, id string, label string")).collect()}
+    assert got == {("g", "1"), ("h", "3"), ("k", "5"), ("k", "6"), ("k", "7")}
+
+
 def test_post_process_adds_bridges(search, spark):
     steps = spark.createDataFrame([("g", 1, "u", "implements", "s1", "business", "system"), ("g", 2, "s1", "enables", "d2", "system", "data"), ("g", 3, "u", "implements", "s1", "business", "system"),
                                    ("g", 4, "d2", "solves", "t1", "data", "technology")], "path_id string, pos long, subject string, predicate string, object string, subject_layer string, object_layer string")

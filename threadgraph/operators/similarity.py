@@ -222,14 +222,17 @@ def prioritize(connections: DataFrame, n: int = 20, terms=CONNECTION_TERMS, orde
 
 
 def semantic_seeds(users: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities named like a user entity, else the best word overlap, else the first three."""
+    """Entities named like a user entity, else the best word overlap, else the first three, per graph.
+
+    Words carry their graph, so user and entity only meet inside it.
+    """
     from threadgraph.operators.joins import word_overlap_match
 
     exact = entities.join(users.select("graph_id", "label").distinct(), ["graph_id", "label"], "left_semi").withColumn("_o", F.lit(0))
     key = lambda c: F.concat_ws("\u0001", "graph_id", c)
-    overlap = word_overlap_match(users.select(key("label").alias("user_id"), "label"), entities.select(key("id").alias("entity_id"), "label"))
-    same = F.split("user_id", "\u0001")[0] == F.split("entity_id", "\u0001")[0]
-    near = overlap.filter(same).select(F.split("entity_id", "\u0001")[0].alias("graph_id"), F.split("entity_id", "\u0001")[1].alias("id")).distinct()
+    own = F.array_join(F.transform(F.filter(F.split("label", r"\s+"), lambda w: w != ""), lambda w: F.concat_ws("\u0001", "graph_id", w)), " ")
+    overlap = word_overlap_match(users.select(key("label").alias("user_id"), own.alias("label")), entities.select(key("id").alias("entity_id"), own.alias("label")))
+    near = overlap.select(F.split("entity_id", "\u0001")[0].alias("graph_id"), F.split("entity_id", "\u0001")[1].alias("id")).distinct()
     near = entities.join(near, ["graph_id", "id"], "left_semi").withColumn("_o", F.lit(1))
     first = top_k(entities, ["graph_id"], [F.col("id")], 3).withColumn("_o", F.lit(2))
     pool = exact.unionByName(near).unionByName(first)

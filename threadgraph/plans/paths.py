@@ -357,6 +357,22 @@ def layered_path(triples: DataFrame, depth: int = 4, width: int = 3) -> DataFram
     return best
 
 
+def choose_path(triples: DataFrame, depth: int = 15, width: int = 3, stage_depth: int = 4, fallback: int = 5) -> DataFrame:
+    """Step table of one path per graph: the best of the staged path and the beam, without repeats, in one piece and
+    with bridges; graphs in which neither finds a path get their first triples.
+
+    ``triples`` as for :func:`beam_search`, with ``subject_is_user``. Runs its rounds while the plan is built.
+    """
+    triples = materialize(triples)
+    beam, staged = beam_search(triples, width, depth), layered_path(triples, stage_depth, width)
+    state = [c for c in beam.columns if c != "score"]
+    best = materialize(select_best_path(beam.select(state).unionByName(staged.select(state)), path="path_key"))
+    found = post_process_path(materialize(state_steps(best)), triples)
+    missing = triples.join(best.select("graph_id"), "graph_id", "left_anti")
+    rest = fallback_path(missing, fallback).select(F.col("graph_id").alias("path_id"), F.col("pos").cast("long").alias("pos"), *found.columns[2:])
+    return found.unionByName(rest)
+
+
 def choose_subgraph(inventory: DataFrame, priority: list[str]) -> DataFrame:
     """First non-empty subgraph of the priority list per graph."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("subgraph"))
