@@ -36,3 +36,14 @@ def test_order_graph_writes_links_without_labels(spark, tmp_path):
     assert spark.read.parquet(*files).columns == ["graph_id", "seq", "source", "target", "label", "origin"]
     assert links.count() == len(got)
     assert sorted(r.id for r in nodes.filter("graph_id = 'o11'").collect()) == ["c2", "o11", "p1", "s2"]
+
+
+def test_components_leave_only_their_result(spark):
+    rows = [("g", f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("h", "x", "y")]
+    links = spark.createDataFrame(rows, "graph_id string, source string, target string")
+    nodes = links.select("graph_id", F.explode(F.array("source", "target")).alias("id"))
+    adj = materialize(cn.adjacency(links))
+    before = set(os.listdir(checkpoint_dir(spark)))
+    out = cn.connected_components(nodes, adj)
+    assert len(set(os.listdir(checkpoint_dir(spark))) - before) == 1
+    assert {(r.graph_id, r.component) for r in out.collect()} == {("g", "n000"), ("h", "x")}
