@@ -47,3 +47,13 @@ def test_components_leave_only_their_result(spark):
     out = cn.connected_components(nodes, adj)
     assert len(set(os.listdir(checkpoint_dir(spark))) - before) == 1
     assert {(r.graph_id, r.component) for r in out.collect()} == {("g", "n000"), ("h", "x")}
+
+
+def test_stream_ingest_reads_a_folder_of_files(spark, tmp_path):
+    from threadgraph.catalog import QUERIES, load
+
+    load()
+    rows = [(i, "some text", "en", "web" if i % 2 else "book", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["st1_stream_ingest"](spark, str(tmp_path)).agg(F.sum("docs")).first()[0] == 40
