@@ -1,6 +1,9 @@
 """What the queries write and keep on disk, and inputs laid out as folders."""
 
+import glob
+import gzip
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -57,3 +60,15 @@ def test_stream_ingest_reads_a_folder_of_files(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["st1_stream_ingest"](spark, str(tmp_path)).agg(F.sum("docs")).first()[0] == 40
+
+
+def test_archives_take_the_fastest_compression(spark):
+    from threadgraph.llm import warc as W
+
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    html = " ".join(f"word{i * i % 977} of {i % 31}" for i in range(20000))
+    W.crawl_archive(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").coalesce(1), path)
+    (name,) = glob.glob(f"{path}/*.gz")
+    raw = gzip.open(name).read()
+    assert html.encode() in raw
+    assert os.path.getsize(name) > (len(gzip.compress(raw, 1)) + len(gzip.compress(raw, 6))) / 2
