@@ -52,14 +52,20 @@ def test_components_leave_only_their_result(spark):
     assert {(r.graph_id, r.component) for r in out.collect()} == {("g", "n000"), ("h", "x")}
 
 
-def test_stream_ingest_reads_a_folder_of_files(spark, tmp_path):
+def test_stream_ingest_reads_a_file_and_a_folder_of_files(spark, tmp_path):
     from threadgraph.catalog import QUERIES, load
 
     load()
     rows = [(i, "some text", "en", "web" if i % 2 else "book", 9) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    assert QUERIES["st1_stream_ingest"](spark, str(tmp_path)).agg(F.sum("docs")).first()[0] == 40
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (part,) = glob.glob(f"{tmp_path}/one/*.parquet")
+    os.mkdir(f"{tmp_path}/file")
+    with open(part, "rb") as src, open(f"{tmp_path}/file/documents.parquet", "wb") as dst:
+        dst.write(src.read())
+    for form in ("folder", "file"):
+        assert QUERIES["st1_stream_ingest"](spark, f"{tmp_path}/{form}").agg(F.sum("docs")).first()[0] == 40
 
 
 def test_archives_take_the_fastest_compression(spark):
