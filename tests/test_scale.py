@@ -78,3 +78,16 @@ def test_archives_take_the_fastest_compression(spark):
     raw = gzip.open(name).read()
     assert html.encode() in raw
     assert os.path.getsize(name) > (len(gzip.compress(raw, 1)) + len(gzip.compress(raw, 6))) / 2
+
+
+def test_token_ids_are_not_stored_between_joins(spark, monkeypatch):
+    import public_tokenizers
+
+    from threadgraph.llm import bpe
+
+    made = []
+    monkeypatch.setattr(bpe, "stored", lambda df: made.append(materialize(df)) or made[-1])
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "two zwölf")], "doc_id long, text string")
+    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), hot_words=1)
+    assert {r.doc_id: r.n_tokens > 0 for r in out.collect()} == {1: True, 2: False, 3: True}
+    assert len(made) == 2
