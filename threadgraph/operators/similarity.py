@@ -70,7 +70,8 @@ class PivotTree:
             return None, right
         cells = -(-n // BLOCK_ROWS)
         leaves = min(MAX_LEAVES, max(cells, math.isqrt(n))) if cells > 1 else 1
-        sample = right.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * leaves).select("vec").collect()
+        # written first: a collected limit would send every task's candidates to the driver
+        sample = materialize(right.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * leaves).select("vec")).collect()
         pivots = _spread(_unit_rows(pd.Series([r["vec"] for r in sample])), leaves)
         tree = cls(pivots, min(cells, len(pivots)))
         if tree.n_cells == 1:
@@ -118,7 +119,7 @@ PAIR_SCHEMA = "graph_id string, left_id string, right_id string, similarity doub
 
 
 def _joined_cells(left: DataFrame, right: DataFrame, threshold: float | None, k: int | None, keep_self: bool) -> DataFrame:
-    """Pairs of rows of one graph and cell; cells larger than a block, on either side, are split by hash."""
+    """Pairs of rows of one graph and cell; cells larger than a block, on either side, are split by hash. Runs Spark jobs."""
     def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"graph_id": [], "left_id": [], "right_id": [], "similarity": []})
@@ -138,7 +139,8 @@ def _joined_cells(left: DataFrame, right: DataFrame, threshold: float | None, k:
 
     on = ["graph_id", "cell"]
     n = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-    parts = n(left, "nl").join(n(right, "nr"), on)
+    # written, so that its known size makes it the side that is broadcast, not the vectors
+    parts = materialize(n(left, "nl").join(n(right, "nr"), on))
     mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     keys = [*on, "lc", "rc"]
