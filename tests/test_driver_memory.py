@@ -3,6 +3,8 @@
 import numpy as np
 
 from threadgraph.operators import similarity as sm
+from threadgraph.plans import paths as pt
+from threadgraph.session import materialize
 
 
 def broadcasts(df):
@@ -34,3 +36,17 @@ def test_pivot_sample_is_written_before_it_is_collected(spark, monkeypatch):
     rows = [("all", f"v{i}", [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(4).normal(size=(100, 8)))]
     sm.PivotTree.fit(spark.createDataFrame(rows, "graph_id string, id string, vec array<double>"))
     assert ["vec"] in written
+
+
+def test_path_entities_and_steps_are_not_broadcast(spark):
+    cols = "path_id string, pos long, subject string, predicate string, object string, subject_layer string, object_layer string"
+    pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("a", "b")]
+    rows = [(f"p{i}", n, a, "uses", b, "system", "data") for i in range(50) for n, (a, b) in enumerate(pairs)]
+    steps = materialize(spark.createDataFrame(rows, cols))
+    more = [(f"p{i}", "9", "c", "uses", "a", "system", "data") for i in range(50)]
+    triples = materialize(spark.createDataFrame(more, "graph_id string, seq string, subject string, predicate string, object string, subject_layer string, object_layer string"))
+    assert broadcasts(pt.bridges(steps, triples)) == []
+    done = pt.post_process_path(steps, triples)
+    assert broadcasts(done) == []
+    got = {tuple(r) for r in done.filter("path_id = 'p7'").select("pos", "subject", "object").collect()}
+    assert got == {(0, "a", "b"), (1, "b", "c"), (2, "c", "a")}

@@ -186,8 +186,9 @@ def bridge_score(predicate: Column, s_layer: Column, o_layer: Column) -> Column:
 
 def bridges(steps: DataFrame, triples: DataFrame, k: int = 5, best_first: bool = True) -> DataFrame:
     """Triples between path entities that are not path steps, the k best (or lowest) scores."""
-    ents = steps.select(F.col("path_id").alias("graph_id"), F.explode(F.array("subject", "object")).alias("e")).distinct()
-    used = steps.select(F.col("path_id").alias("graph_id"), "subject", "object").distinct()
+    # one row per path entity or step: merged, as their compressed files look small enough to broadcast
+    ents = steps.select(F.col("path_id").alias("graph_id"), F.explode(F.array("subject", "object")).alias("e")).distinct().hint("merge")
+    used = steps.select(F.col("path_id").alias("graph_id"), "subject", "object").distinct().hint("merge")
     t = triples.join(ents.withColumnRenamed("e", "subject"), ["graph_id", "subject"], "left_semi")
     t = t.join(ents.withColumnRenamed("e", "object"), ["graph_id", "object"], "left_semi").join(used, ["graph_id", "subject", "object"], "left_anti")
     t = t.withColumn("score", bridge_score(F.col("predicate"), F.col("subject_layer"), F.col("object_layer")))
@@ -201,12 +202,12 @@ def post_process_path(steps: DataFrame, triples: DataFrame) -> DataFrame:
 
     once = materialize(dedup_path(steps))
     comps = path_components(once).select(F.col("graph_id").alias("path_id"), F.col("id").alias("subject"), "component")
-    marked = once.join(comps, ["path_id", "subject"])
+    marked = once.join(comps.hint("merge"), ["path_id", "subject"])
     size = marked.groupBy("path_id", "component").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("p"))
     best = size.groupBy("path_id").agg(F.min_by("component", F.struct(-F.col("k"), F.col("p"))).alias("component"))
-    kept = materialize(marked.join(best, ["path_id", "component"], "left_semi").select(*once.columns))
+    kept = materialize(marked.join(best.hint("merge"), ["path_id", "component"], "left_semi").select(*once.columns))
     length = kept.groupBy("path_id").agg(F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
-    extra = bridges(kept, triples).withColumnRenamed("graph_id", "path_id").join(length.filter("n >= 2"), "path_id")
+    extra = bridges(kept, triples).withColumnRenamed("graph_id", "path_id").join(length.filter("n >= 2").hint("merge"), "path_id")
     extra = extra.withColumn("pos", F.col("last") + F.col("rank"))
     return kept.select(*[F.col(c) for c in ("path_id", "pos", "subject", "predicate", "object", "subject_layer", "object_layer")]).unionByName(
         extra.select("path_id", F.col("pos").cast("long").alias("pos"), "subject", "predicate", "object", "subject_layer", "object_layer"))
