@@ -91,3 +91,37 @@ def test_token_ids_are_not_stored_between_joins(spark, monkeypatch):
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), hot_words=1)
     assert {r.doc_id: r.n_tokens > 0 for r in out.collect()} == {1: True, 2: False, 3: True}
     assert len(made) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graph_tables_are_built_once(spark):
+    from threadgraph.operators import graph as g
+
+    cols = "graph_id string, seq string, subject_id string, subject_label string, predicate string, object_id string, object_label string, origin string, domain_type string"
+    rows = [("g", "2", "a", "late", "p", "b", "B", "user", "data"), ("g", "1", "a", "A", "p", "c", "C", "domain", None), ("g", "3", "b", "B", "q", "a", "x", "user", "data")]
+    t = spark.createDataFrame(rows + rows[:1], cols)
+    nodes, links = g.materialize_graph(t)
+    assert "Aggregate" not in _plan(nodes) and "Join" not in _plan(links)
+    assert sorted((r.id, r.label, r.origin_label, r.domain_type, r.first_seq) for r in nodes.collect()) == [
+        ("a", "A", "domain", "other", "1"), ("b", "B", "user", "data", "2"), ("c", "C", "domain", "other", "1")]
+    assert sorted(r.seq for r in links.collect()) == ["1", "2", "2", "3"]
+    inv = g.subgraph_inventory(*g.split_by_origin(nodes, links))
+    assert "SortAggregate" not in _plan(inv)
+    got = {r.subgraph: (r.node_count, r.link_count, r.first_node, r.first_link_source) for r in inv.collect()}
+    assert got == {"domain": (2, 1, "a", "a"), "user": (1, 0, "b", None), "combined_subgraph": (3, 4, "a", "a")}
+    kept, merged = g.consolidate(nodes, links)
+    assert "Aggregate" not in _plan(merged)
+    assert sorted((r.source, r.target, r["count"]) for r in merged.collect()) == [
+        ("consolidated_A", "consolidated_B", 2), ("consolidated_A", "consolidated_C", 1), ("consolidated_B", "consolidated_A", 1)]
+
+
+def test_first_by_sorts_on_a_hash(spark):
+    from threadgraph.operators.common import first_by
+
+    df = spark.createDataFrame([("g", "a", "2", "x"), ("g", "a", "1", "y"), ("g", None, "3", "z")], "graph_id string, id string, seq string, v string")
+    out = first_by(df, ["graph_id", "id"], ["seq"])
+    assert "Sort [xxhash64" in _plan(out) or "Sort [_groupingexpression" in _plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == [("g", "a", "1", "y"), ("g", None, "3", "z")]
