@@ -125,3 +125,27 @@ def test_first_by_sorts_on_a_hash(spark):
     out = first_by(df, ["graph_id", "id"], ["seq"])
     assert "Sort [xxhash64" in _plan(out) or "Sort [_groupingexpression" in _plan(out)
     assert sorted(map(tuple, out.collect()), key=str) == [("g", "a", "1", "y"), ("g", None, "3", "z")]
+
+
+def test_centrality_rounds_leave_no_tables(spark):
+    import warnings
+
+    from threadgraph.operators import communities as cm
+
+    pairs = [(i, i + 1) for i in range(30)] + [(0, 7), (0, 9)]
+    adj = spark.createDataFrame([("g", f"n{a}", f"n{b}") for x, y in pairs for a, b in ((x, y), (y, x))], "graph_id string, node string, nbr string")
+    folder = checkpoint_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = {r.node: r.x for r in cm.eigenvector_scores(adj, max_rounds=12).collect()}
+    assert len(set(os.listdir(folder)) - before) <= 4
+    x = dict.fromkeys(got, 1.0)
+    for _ in range(12):
+        y = dict(x)
+        for a, b in pairs:
+            y[f"n{a}"] += x[f"n{b}"]
+            y[f"n{b}"] += x[f"n{a}"]
+        length = sum(v * v for v in y.values()) ** 0.5
+        x = {k: v / length for k, v in y.items()}
+    assert len(got) == 31 and all(abs(got[k] - x[k]) < 1e-9 for k in x)
