@@ -2,7 +2,7 @@
 
 from test_scale import _tables
 
-from threadgraph.catalog import graphs
+from threadgraph.catalog import corpus, graphs
 
 def moved(df):
     """Exchanges of rows by graph or document, but for the one that deals orders and lines."""
@@ -15,3 +15,9 @@ def test_graph_text_moves_no_links(spark, tmp_path):
     assert not moved(out)
     got = {r.graph_id: r.graph_text.split("\n") for r in out.collect()}
     assert got["o11"] == ["c2 places o11", "o11 contains p1", "p1 uses s2"] and len(got["o10"]) == 10
+
+def test_triples_by_doc_moves_no_triples(spark, tmp_path):
+    _tables(spark, tmp_path)
+    out = corpus.by_doc_q(spark, str(tmp_path))
+    assert not moved(out)
+    assert out.select("doc_id").distinct().collect()[0].doc_id == "o10" and out.count() == 10
