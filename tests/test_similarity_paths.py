@@ -207,3 +207,39 @@ def test_token_join_brute(spark, monkeypatch):
         assert len(got) == len(want) and all(abs(want[x, y] - s) < 1e-12 for x, y, s in got)
         assert {r[0] for r in jn.topics_with_match(a, b, t).collect()} == {x for x, _ in want}
     assert jn.topic_match(a, b.limit(0)).count() == jn.topic_match(a.limit(0), b).count() == 0
+
+
+def test_similarity_strips_hold_few_numbers(spark):
+    """Peak memory of the functions that Python workers run follows a strip, not leaves times rows of a batch."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    pivots = rng.normal(size=(2048, 8))
+    tree = sm.PivotTree(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), 16)
+    tree.lo[:], tree.hi[:] = 0.2, 0.9
+    vecs, least = pd.Series(list(rng.normal(size=(4000, 8)))), pd.Series([0.8] * 4000)
+    tracemalloc.start()
+    cells = next(tree.visits().func(iter([(vecs, least)])))
+    place = next(tree.leaf().func(iter([vecs])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6  # one product of all rows and leaves alone takes 65 MB
+    m = sm._unit_rows(vecs)
+    b = np.arccos(np.clip(m @ tree.pivots.T, -1.0, 1.0))
+    near = np.maximum(0.0, np.maximum(b - tree.hi, tree.lo - b)) <= np.arccos(0.8) + sm.SLACK
+    assert all(list(c) == sorted(set(tree.cell_of[x])) for c, x in zip(cells, near))
+    assert (place["leaf"].to_numpy() == np.argmax(m @ tree.pivots.T, axis=1)).all()
+
+
+def test_best_of_a_strip_against_sorting():
+    rng = np.random.default_rng(9)
+    for share in (1.0, 0.3, 0.02):
+        s = np.round(rng.normal(size=(40, 200)), 1)  # many ties
+        ok = rng.random(s.shape) < share
+        want = np.zeros_like(ok)
+        for r in range(len(s)):
+            order = sorted(np.flatnonzero(ok[r]), key=lambda c: (-s[r, c], c))[:7]
+            want[r, order] = True
+        assert (sm._best(s, ok.copy(), 7) == want).all()

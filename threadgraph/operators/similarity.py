@@ -24,6 +24,8 @@ from threadgraph.session import materialize
 
 #: Rows of a block on either side, most leaves of a pivot tree (their vectors go to every task), rows sampled for a leaf, room for rounding in angles.
 BLOCK_ROWS, MAX_LEAVES, SAMPLE, SLACK = 4096, 4096, 4, 1e-6
+#: Numbers of a product that are held at once: rows are multiplied strip by strip.
+STRIP = 2**20
 
 
 def _unit_rows(vecs: pd.Series) -> np.ndarray:
@@ -46,6 +48,30 @@ def _spread(m: np.ndarray, n: int) -> np.ndarray:
     return m[picked]
 
 
+def _strips(n: int, width: int) -> Iterator[slice]:
+    """Consecutive rows whose products with ``width`` columns make a strip."""
+    step = max(1, STRIP // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def _best(s: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
+    """``ok``, cut to the ``k`` highest of each row; of equal ones the first."""
+    n = ok.sum(axis=1)
+    many = np.flatnonzero(n > k)
+    if n.sum() * 8 < ok.size:  # few: ordered one by one
+        i, j = np.nonzero(ok)
+        order = np.lexsort((j, -s[i, j], i))
+        over = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) >= k]
+        ok[i[over], j[over]] = False
+    elif len(many):
+        x = np.where(ok[many], -np.nan_to_num(s[many], nan=-3.0), 2.0)
+        last = np.partition(x, k - 1, axis=1)[:, k - 1:k]
+        above, same = x < last, x == last
+        same &= np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True)
+        ok[many] &= above | same
+    return ok
+
+
 class PivotTree:
     """Two levels of pivots over the right side of a similarity join.
 
@@ -93,7 +119,7 @@ class PivotTree:
                     yield pd.DataFrame({"leaf": [], "cell": [], "angle": []})
                     continue
                 m = _unit_rows(vecs)
-                at = np.argmax(m @ tree.pivots.T, axis=1)
+                at = np.concatenate([np.argmax(m[x] @ tree.pivots.T, axis=1) for x in _strips(len(m), len(tree.pivots))])
                 angle = np.arccos(np.clip(np.einsum("ij,ij->i", m, tree.pivots[at]), -1.0, 1.0))
                 yield pd.DataFrame({"leaf": at, "cell": tree.cell_of[at], "angle": angle})
         return place
@@ -101,6 +127,9 @@ class PivotTree:
     def visits(self):
         """Column function: cells that may hold a row with at least the given cosine (null: any)."""
         tree = self
+        by_cell = np.argsort(tree.cell_of, kind="stable")
+        named, begin = np.unique(tree.cell_of[by_cell], return_index=True)
+        named = named.astype(np.int32)
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def cells(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -108,10 +137,13 @@ class PivotTree:
                 if len(vecs) == 0:
                     yield pd.Series([], dtype=object)
                     continue
-                b = np.arccos(np.clip(_unit_rows(vecs) @ tree.pivots.T, -1.0, 1.0))
+                m, out = _unit_rows(vecs), []
                 reach = np.arccos(np.clip(least.fillna(-1.0).to_numpy(np.float64), -1.0, 1.0))
-                near = np.maximum(0.0, np.maximum(b - tree.hi, tree.lo - b)) <= reach[:, None] + SLACK
-                yield pd.Series([np.unique(tree.cell_of[x]).astype(np.int32) for x in near])
+                for x in _strips(len(m), len(tree.pivots)):
+                    b = np.arccos(np.clip(m[x] @ tree.pivots.T, -1.0, 1.0))
+                    near = np.maximum(0.0, np.maximum(b - tree.hi, tree.lo - b)) <= reach[x, None] + SLACK
+                    out += [named[c] for c in np.logical_or.reduceat(near[:, by_cell], begin, axis=1)]
+                yield pd.Series(out)
         return cells
 
 
@@ -124,18 +156,27 @@ def _joined_cells(left: DataFrame, right: DataFrame, threshold: float | None, k:
         if a.empty or b.empty:
             return pd.DataFrame({"graph_id": [], "left_id": [], "right_id": [], "similarity": []})
         b = b.sort_values("id", kind="stable")
-        s = np.round(_unit_rows(a["vec"]) @ _unit_rows(b["vec"]).T, 9)
+        m, right_t = _unit_rows(a["vec"]), _unit_rows(b["vec"]).T
         aid, bid = a["id"].to_numpy(), b["id"].to_numpy()
-        ok = np.ones_like(s, dtype=bool) if threshold is None else s >= threshold
-        if not keep_self:
-            ok &= aid[:, None] != bid[None, :]
-        if k is not None and s.shape[1] > k:
-            best = np.argsort(-np.where(ok, s, -2.0), axis=1, kind="stable")[:, :k]
-            top = np.zeros_like(ok)
-            np.put_along_axis(top, best, True, axis=1)
-            ok &= top
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"graph_id": key[0], "left_id": aid[i], "right_id": bid[j], "similarity": s[i, j]})
+        found = []
+        for x in _strips(len(m), len(bid)):
+            s = m[x] @ right_t
+            if threshold is None:
+                s = np.round(s, 9)
+                ok = np.ones_like(s, dtype=bool)
+            else:  # the few that may reach the threshold are rounded
+                i, j = np.nonzero(s >= threshold - SLACK)
+                v = np.round(s[i, j], 9)
+                s, ok = np.full(s.shape, -2.0), np.zeros(s.shape, dtype=bool)
+                s[i, j], ok[i, j] = v, v >= threshold
+            if not keep_self:
+                ok &= aid[x, None] != bid[None, :]
+            if k is not None:
+                ok = _best(s, ok, k)
+            i, j = np.nonzero(ok)
+            found.append((i + x.start, j, s[i, j]))
+        i, j, s = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"graph_id": key[0], "left_id": aid[i], "right_id": bid[j], "similarity": s})
 
     on = ["graph_id", "cell"]
     n = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
