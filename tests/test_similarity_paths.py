@@ -243,3 +243,12 @@ def test_best_of_a_strip_against_sorting():
             order = sorted(np.flatnonzero(ok[r]), key=lambda c: (-s[r, c], c))[:7]
             want[r, order] = True
         assert (sm._best(s, ok.copy(), 7) == want).all()
+
+
+def test_semantic_connections_compute_the_first_hop_once(spark, monkeypatch):
+    calls, real = [], sm.materialize
+    monkeypatch.setattr(sm, "materialize", lambda df: calls.append(df.columns) or real(df))
+    rows = [("all", f"v{i}", f"l{i}", [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(5).normal(size=(60, 6)))]
+    e = spark.createDataFrame(rows, "graph_id string, id string, label string, vec array<double>")
+    out = sm.semantic_connections(e.filter("id < 'v2'").select("graph_id", "id", "vec"), e, 0.3)
+    assert any("hop" in c for c in calls) and out.count() == 20
