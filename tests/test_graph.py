@@ -217,3 +217,18 @@ def test_measures_in_waves(spark, tmp_path):
     assert far["one", "z"] == (1, 0.0, 0.0) and len(far) == nodes.count()
     assert sorted(cn.source_sums(nodes, adj, wave=3).collect()) == sorted(sums.collect())
     assert cn.source_sums(nodes.limit(0), adj).count() == 0
+
+
+def test_links_of_named_records_need_no_join(spark):
+    cols = "graph_id string, seq string, subject_id string, subject_label string, predicate string, object_id string, object_label string, origin string"
+    plain = [("g", "2", "a", "late", "p", "b", "B", "user"), ("g", "1", "a", "A", "p", "c", "", "domain"), ("h", "3", "b", "B", "q", "a", None, "user"),
+             ("g", "2", "a", "late", "p", "b", "B", "user"), ("g", "4", "", "x", "p", "b", "B", "user"), ("g", "5", None, "x", "p", "b", "B", "user"), (None, "6", "a", "A", "p", "b", "B", "user")]
+    _, links = g.materialize_graph(spark.createDataFrame(plain, cols))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "parquet" not in plan.lower()
+    assert sorted((r.graph_id, r.seq, r.source, r.target) for r in links.collect()) == [("g", "1", "a", "c"), ("g", "2", "a", "b"), ("g", "2", "a", "b"), ("h", "3", "b", "a")]
+    odd = plain + [("g", "0", "a", "ns0__x", "p", "c", "C", "user"), ("g", "3", "a", "owl__x", "p", "c", "C", "user"), ("g", None, "d", "D", "p", "c2", "C", "user"),
+                   ("g", "7", "d", "D", "p", "a", "A", "user"), ("g", "8", "a", "A", "p", "d", "rdfs__d", "user"), ("g", "9", "a", "A", "p", "e", "rdfs__e", "user")]
+    _, links = g.materialize_graph(spark.createDataFrame(odd, cols))
+    assert sorted((r.graph_id, r.seq, r.source, r.target) for r in links.collect()) == [
+        ("g", "1", "a", "c"), ("g", "2", "a", "b"), ("g", "2", "a", "b"), ("g", "3", "a", "c"), ("h", "3", "b", "a")]
