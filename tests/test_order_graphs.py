@@ -51,3 +51,19 @@ def test_triples_by_doc_moves_no_triples(spark, tmp_path):
     out = corpus.by_doc_q(spark, str(tmp_path))
     assert not moved(out)
     assert out.select("doc_id").distinct().collect()[0].doc_id == "o10" and out.count() == 10
+
+
+def test_description_moves_links_once(spark, tmp_path):
+    _tables(spark, tmp_path)
+    out = graphs.description_q(spark, str(tmp_path))
+    assert not moved(out)
+    got = {r.graph_id: (r.node_count, r.link_count, r.group_count, r.relations, r.first_nodes) for r in out.collect()}
+    assert got == {"o10": (6, 8, 1, "belongs_to, contains, is_part_of, places, uses", "c1, n1, o10"), "o11": (4, 3, 1, "contains, places, uses", "c2, o11, p1")}
+
+
+def test_weights_move_no_sequence(spark, tmp_path):
+    _tables(spark, tmp_path)
+    out = graphs.weighted_links_q(spark, str(tmp_path))
+    assert "max(seq" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.a, r.b, r.weight) for r in out.filter("graph_id = 'o11'").collect())
+    assert got == [("c2", "o11", 1.0), ("o11", "p1", 1.0), ("p1", "s2", 1.0)]
