@@ -58,7 +58,7 @@ def test_description_moves_links_once(spark, tmp_path):
     out = graphs.description_q(spark, str(tmp_path))
     assert not moved(out)
     got = {r.graph_id: (r.node_count, r.link_count, r.group_count, r.relations, r.first_nodes) for r in out.collect()}
-    assert got == {"o10": (6, 8, 1, "belongs_to, contains, is_part_of, places, uses", "c1, n1, o10"), "o11": (4, 3, 1, "contains, places, uses", "c2, o11, p1")}
+    assert got == {"o10": (7, 8, 1, "belongs_to, contains, is_part_of, places, uses", "c1, n1, o10"), "o11": (4, 3, 1, "contains, places, uses", "c2, o11, p1")}
 
 
 def test_weights_move_no_sequence(spark, tmp_path):
